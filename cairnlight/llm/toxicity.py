@@ -198,21 +198,32 @@ class Model:
         return np.stack([np.bincount(owner, scores[:, 0], len(words)), np.bincount(owner, scores[:, 1], len(words)), np.bincount(owner, minlength=len(words))], axis=1)
 
 
+def _hash_rows(batches):
+    for batch in batches:
+        kinds = batch.column(0).to_numpy()
+        keys = np.empty(len(kinds), np.uint64)
+        for kind in np.unique(kinds):
+            at = np.flatnonzero(kinds == kind)
+            length = int(kind) // 2 - int(kind) % 2
+            grams = "".join(batch.column(1).take(pa.array(at)).to_pylist())
+            cps = np.frombuffer(grams.encode("utf-32-le", "replace"), np.uint32).reshape(len(at), length)
+            h = np.zeros(len(at), np.uint64)
+            for k in range(length):
+                h = h * _PRIME + cps[:, k].astype(np.uint64) + np.uint64(1)
+            keys[at] = _mixed(h, int(kind))
+        values = [batch.column(k).cast(pa.float32()) for k in (2, 3)]
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *values], ["key", "a", "b"])
+
+
 def _read_model(rows: DataFrame, order: int) -> Model:
-    table = rows.toArrow()
-    kinds, grams = table["kind"].to_numpy(), table["g"].to_pylist()
-    keys = np.empty(len(grams), np.uint64)
-    for kind in np.unique(kinds):
-        at = np.flatnonzero(kinds == kind)
-        length = int(kind) // 2 - int(kind) % 2
-        cps = np.frombuffer("".join(grams[i] for i in at).encode("utf-32-le", "replace"), np.uint32).reshape(len(at), length)
-        h = np.zeros(len(at), np.uint64)
-        for k in range(length):
-            h = h * _PRIME + cps[:, k].astype(np.uint64) + np.uint64(1)
-        keys[at] = _mixed(h, int(kind))
+    """Collect the model as 16 bytes a row; executors hash the windows."""
+    table = rows.mapInArrow(_hash_rows, "key long, a float, b float").toArrow()
+    keys = table["key"].to_numpy().view(np.uint64)
     by = np.argsort(keys)
-    values = np.stack([table["a"].to_numpy(), table["b"].to_numpy()], axis=1).astype(np.float32)
-    return Model(order, keys[by], values[by])
+    values = np.empty((len(by), 2), np.float32)
+    for k, name in enumerate("ab"):
+        values[:, k] = table[name].to_numpy()[by]
+    return Model(order, keys[by], values)
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
