@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, simhash, toxicity
+from . import line_dedup, mixing, sentencepieces, simhash, toxicity
+
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +31,19 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece_nbest": op1_sentencepiece_nbest,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_line_dedup": op4_line_dedup,
+    "op6_source_mixing": op6_source_mixing,
     "op8_toxicity": op8_toxicity,
 }
 
@@ -48,4 +60,39 @@ seen AS (
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE k = 1), '') AS text,
        CAST(count(*) FILTER (WHERE k > 1) AS INTEGER) AS removed_lines
 FROM seen GROUP BY doc_id""",
+    "op6_source_mixing": r"""
+WITH d AS (
+  SELECT coalesce('=' || source, 'null') AS src, doc_id, lang,
+         list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\r\f\x0B]+'), lambda w: w <> '') AS w
+  FROM documents),
+e AS (
+  SELECT *, len(w) AS n, CAST(coalesce(sum(len(w)) OVER (
+           PARTITION BY src ORDER BY doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS o
+  FROM d WHERE len(w) > 0),
+p AS (SELECT src, doc_id, lang, w, o, n, unnest(range(o // 512, (o + n - 1) // 512 + 1)) AS block FROM e),
+b AS (
+  SELECT src, block,
+         string_agg(array_to_string(w[greatest(block * 512 - o, 0) + 1 : least((block + 1) * 512 - o, n)], ' '), ' ' ORDER BY o) AS text,
+         CAST(sum(least((block + 1) * 512 - o, n) - greatest(block * 512 - o, 0)) AS BIGINT) AS n_tokens,
+         arg_min(doc_id, o) AS doc_id, arg_min(lang, o) AS lang
+  FROM p GROUP BY src, block),
+s AS (
+  SELECT src, CAST(ceil(sum(n) / 512) AS BIGINT) AS size, greatest(1, CAST(floor(sqrt(sum(n))) AS BIGINT)) AS weight FROM e GROUP BY src),
+c AS (SELECT *, CAST(sum(weight) OVER (ORDER BY src) AS BIGINT) AS hi FROM s),
+u AS (
+  SELECT i AS slot, i // 256 AS shard,
+         CAST('0x' || substr(md5('17|draw|' || i), 1, 15) AS BIGINT) % (SELECT CAST(sum(weight) AS BIGINT) FROM c) AS u
+  FROM range((SELECT CAST(sum(size) AS BIGINT) FROM c)) t(i)),
+a AS (
+  SELECT slot, shard, src, size, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS g
+  FROM u JOIN c ON u.u >= c.hi - c.weight AND u.u < c.hi),
+f AS (SELECT *, g // size AS epoch FROM a),
+m AS (
+  SELECT *, list_reduce(range(1, 25), lambda x, r:
+    CASE WHEN CAST('0x' || substr(md5('17|' || src || '|' || epoch || '|' || r || '|' || greatest(x, (CAST('0x' || substr(md5('17|' || src || '|' || epoch || '|' || r), 1, 15) AS BIGINT) % size - x + size) % size)), 1, 15) AS BIGINT) % 2 = 1
+    THEN (CAST('0x' || substr(md5('17|' || src || '|' || epoch || '|' || r), 1, 15) AS BIGINT) % size - x + size) % size ELSE x END, g % size) AS block
+  FROM f)
+SELECT m.shard, m.slot, CASE WHEN m.src <> 'null' THEN substr(m.src, 2) END AS source, m.epoch, m.block,
+       b.n_tokens, b.doc_id, b.lang, b.text
+FROM m JOIN b ON m.src = b.src AND m.block = b.block""",
 }
