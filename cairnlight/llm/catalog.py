@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, sentencepieces, simhash, toxicity
+from . import line_dedup, mixing, sentencepieces, simhash, toxicity, warc
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -27,6 +27,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, model).where("toxic").select("doc_id", "ll_toxic", "ll_ordinary")
 
 
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_nbest": op1_sentencepiece_nbest,
+    "op2_warc_derivatives": op2_warc_derivatives,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op6_source_mixing": op6_source_mixing,
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_warc_derivatives": warc.sql(),
     "op4_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
