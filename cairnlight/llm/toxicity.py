@@ -172,7 +172,10 @@ class Model:
 
     def look_up(self, hashed: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
         h = _mixed(hashed, kind)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        by = np.argsort(h)  # in order, the search stays in the cache
+        at = np.empty(len(h), np.int64)
+        at[by] = np.searchsorted(self.keys, h[by])
+        at = np.minimum(at, len(self.keys) - 1)
         return self.values[at], self.keys[at] == h
 
     def word_scores(self, words: list[str]) -> np.ndarray:
