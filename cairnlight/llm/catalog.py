@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, sentencepieces, simhash, toxicity, warc
+from . import audio, line_dedup, mixing, records, scratch, sentencepieces, simhash, toxicity, warc
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs, removed_col="removed_lines")
 
 
+def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offset index of the record files, which are written on the way."""
+    return records.write_records(table(spark, sf_dir, "documents"), scratch.new_path(spark, "records"), RANKS)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier rejects, of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -43,13 +49,20 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_telephony_pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes as a telephone payload, coded by its language."""
+    return audio.to_pcm(audio.media_of(table(spark, sf_dir, "documents")), id_col="doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_nbest": op1_sentencepiece_nbest,
     "op2_warc_derivatives": op2_warc_derivatives,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op6_source_mixing": op6_source_mixing,
+    "op7_token_records": op7_token_records,
     "op8_toxicity": op8_toxicity,
+    "op10_telephony_pcm": op10_telephony_pcm,
 }
 
 SQL: dict[str, str] = {
