@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import audio, line_dedup, mixing, records, scratch, sentencepieces, simhash, toxicity, warc
+from . import audio, license_scan, line_dedup, mixing, records, scratch, sentencepieces, simhash, topk, toxicity, warc
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -45,10 +46,20 @@ def op1_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest by inner product of every vector."""
+    found = topk.top_k(table(spark, sf_dir, "embeddings"), k=10)
+    return found.withColumn("score", F.round("score", 6))
+
+
 def op10_telephony_pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's bytes as a telephone payload, coded by its language."""
     return audio.to_pcm(audio.media_of(table(spark, sf_dir, "documents")), id_col="doc_id")
@@ -59,9 +70,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_derivatives": op2_warc_derivatives,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_line_dedup": op4_line_dedup,
+    "op5_license_scan": op5_license_scan,
     "op6_source_mixing": op6_source_mixing,
     "op7_token_records": op7_token_records,
     "op8_toxicity": op8_toxicity,
+    "op9_exact_topk": op9_exact_topk,
     "op10_telephony_pcm": op10_telephony_pcm,
 }
 
@@ -114,4 +127,11 @@ m AS (
 SELECT m.shard, m.slot, CASE WHEN m.src <> 'null' THEN substr(m.src, 2) END AS source, m.epoch, m.block,
        b.n_tokens, b.doc_id, b.lang, b.text
 FROM m JOIN b ON m.src = b.src AND m.block = b.block""",
+    "op9_exact_topk": """
+WITH s AS (
+  SELECT q.vec_id AS query_id, x.vec_id AS neighbor_id,
+         round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])), 9) AS score
+  FROM embeddings q JOIN embeddings x ON q.vec_id <> x.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, neighbor_id, round(score, 6) AS score FROM r WHERE rank <= 10""",
 }
