@@ -31,11 +31,16 @@ def _hash60(*parts) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def permuted(x: Column, n: Column, *key) -> Column:
+def round_keys(n: Column, *key) -> Column:
+    """The keys of one permutation of 0 .. n-1, one for each round."""
+    return F.transform(F.sequence(F.lit(1), F.lit(ROUNDS)), lambda r: F.pmod(_hash60(*key, r), n))
+
+
+def permuted(x: Column, n: Column, keys: Column, *key) -> Column:
     """The place of ``x`` in a pseudorandom permutation of 0 .. n-1."""
 
     def swap_or_not(at: Column, r: Column) -> Column:
-        other = F.pmod(F.pmod(_hash60(*key, r), n) - at, n)
+        other = F.pmod(F.get(keys, r - 1) - at, n)
         bit = F.pmod(_hash60(*key, r, F.greatest(at, other)), F.lit(2))
         return F.when(bit == 1, other).otherwise(at)
 
@@ -104,8 +109,12 @@ def slots(totals: DataFrame, block: int, shard: int, seed: int, weights: dict[st
     rank = F.row_number().over(Window.partitionBy("src", "shard").orderBy("slot")) - 1
     numbered = drawn.withColumn("j", rank).join(bases, (F.col("src") == F.col("src2")) & (F.col("shard") == F.col("shard2"))).withColumn("g", F.col("j") + F.col("base"))
     epoch = F.floor(F.col("g") / F.col("size")).cast("long")
-    where = permuted(F.pmod("g", "size"), F.col("size"), seed, F.col("src"), F.col("epoch"))
-    return numbered.withColumn("epoch", epoch).select("slot", "shard", "src", "epoch", where.alias("block"))
+    numbered = numbered.withColumn("epoch", epoch)
+    passes = numbered.select(F.col("src").alias("src3"), F.col("epoch").alias("epoch3"), F.col("size").alias("size3")).distinct()
+    passes = passes.withColumn("keys", round_keys(F.col("size3"), seed, F.col("src3"), F.col("epoch3")))
+    keyed = numbered.join(passes, (F.col("src") == F.col("src3")) & (F.col("epoch") == F.col("epoch3")))
+    where = permuted(F.pmod("g", "size"), F.col("size"), F.col("keys"), seed, F.col("src"), F.col("epoch"))
+    return keyed.select("slot", "shard", "src", "epoch", where.alias("block"))
 
 
 def mix(docs: DataFrame, *, weights: dict[str | None, int] | None = None, block: int = BLOCK, shard: int = SHARD, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
