@@ -36,7 +36,9 @@ SPACE = "▁"
 NBEST = 4
 UNKNOWN_PENALTY = 10.0
 VECTOR_LENGTH = 48
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
+GROUP_ROWS = 256
+EDGE_VALUES = 3_000_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 NORMAL, BYTE = 1, 6
 
@@ -96,7 +98,7 @@ class Lattice:
         self.maybe[self.keys >> np.uint64(44)] = True
         self.singles = {c for c in self.pieces if len(c) == 1}
         self.powers = np.array([pow(int(_PRIME), k, 2**64) for k in range(self.longest + 1)], np.uint64)
-        self.nbest = lru_cache(1 << 16)(self._nbest)
+        self.nbest = lru_cache(1 << 14)(self._nbest)
 
     def edges_to(self, text: str, end: int) -> Iterator[tuple[int, float, tuple[int, ...]]]:
         for start in range(max(0, end - self.longest), end):
@@ -137,8 +139,9 @@ class Lattice:
             rows = np.flatnonzero(lengths == length)
             if length and len(rows) >= 8:
                 plain[rows] = True
-                for lo in range(0, len(rows), 20_000):
-                    part = rows[lo : lo + 20_000]
+                most = max(64, EDGE_VALUES // int(length * min(length, self.longest)))
+                for lo in range(0, len(rows), most):
+                    part = rows[lo : lo + most]
                     score[part], loss[part], ids, counts[part] = self._vector_best([segments[i] for i in part], int(length))
                     parts.append((part, ids))
         for i in np.flatnonzero(~plain & (lengths > 0)):
@@ -237,8 +240,12 @@ class Lattice:
             marked = pc.replace_substring(marked, SPACE + mark + SPACE, SPACE + SPACE)
         return pc.split_pattern(marked, mark)
 
-    def encode(self, text: pa.Array, n: int) -> tuple[np.ndarray, list[list[tuple[float, np.ndarray]]]]:
+    def encode(self, text: pa.Array, n: int) -> list[list[tuple[float, np.ndarray]]]:
         """For every text, up to ``n`` (score, ids), best first."""
+        return [paths for _, group in self.encode_groups(text, n) for paths in group]
+
+    def encode_groups(self, text: pa.Array, n: int) -> Iterator[tuple[int, list[list[tuple[float, np.ndarray]]]]]:
+        """``encode`` in groups of rows: the first row and the group's paths."""
         lists = self.segments(text)
         flat = lists.flatten()
         offsets = lists.offsets.to_numpy().astype(np.int64)
@@ -252,6 +259,9 @@ class Lattice:
         scores, losses = score[codes], loss[codes]
         out = []
         for row in range(len(text)):
+            if len(out) == GROUP_ROWS:
+                yield row - GROUP_ROWS, out
+                out = []
             lo, hi = offsets[row], offsets[row + 1]
             own = flat_ids[ends[lo] : ends[hi]]
             total = float(scores[lo:hi].sum())
@@ -272,7 +282,8 @@ class Lattice:
                     done = b
                 texts.append((total - lost, np.concatenate([*parts, own[done:]]) if parts else own))
             out.append(texts)
-        return out
+        if out:
+            yield len(text) - len(out), out
 
     @staticmethod
     def _least(values: np.ndarray, k: int) -> np.ndarray:
@@ -330,17 +341,15 @@ def encode(docs: DataFrame, model_path: str, *, nbest: int = NBEST, id_col: str
                         empty = [pa.nulls(len(row), t) for t in (pa.float64(), pa.list_(pa.int32()), pa.bool_())]
                         yield pa.RecordBatch.from_arrays([ids, pa.array(np.ones(len(row), np.int32)), *empty], names)
                         continue
-                    found = lattice.encode(part, nbest)
-                    counts = np.fromiter(map(len, found), np.int64, len(found))
-                    owner = np.repeat(np.arange(len(found)), counts)
-                    flat, offsets = _int_lists([ids for paths in found for _, ids in paths])
-                    same = pc.equal(lattice.decode(flat, offsets), part.take(pa.array(owner)))
-                    rank = np.concatenate([np.arange(1, c + 1) for c in counts]).astype(np.int32)
-                    whole = pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(owner)), pa.array(rank), pa.array([s for paths in found for s, _ in paths], pa.float64()), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, pa.int32())), same], names
-                    )
-                    for lo in range(0, whole.num_rows, 2000):
-                        yield whole.slice(lo, 2000)
+                    for first, found in lattice.encode_groups(part, nbest):
+                        counts = np.fromiter(map(len, found), np.int64, len(found))
+                        owner = np.repeat(np.arange(len(found)), counts)
+                        flat, offsets = _int_lists([ids for paths in found for _, ids in paths])
+                        same = pc.equal(lattice.decode(flat, offsets), part.take(pa.array(owner + first)))
+                        rank = np.concatenate([np.arange(1, c + 1) for c in counts]).astype(np.int32)
+                        scored = pa.array([s for paths in found for s, _ in paths], pa.float64())
+                        listed = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, pa.int32()))
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner + first)), pa.array(rank), scored, listed, same], names)
 
     schema = f"`{id_col}` {id_type}, rank int, score double, ids array<int>, round_trip boolean"
     return docs.select(id_col, text_col).mapInArrow(run, schema)
