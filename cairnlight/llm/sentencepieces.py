@@ -19,7 +19,6 @@ by Zipf's law, -log(rank + 1) - log(log(size)).
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -109,23 +108,33 @@ class Lattice:
             yield end - 1, self.unknown, tuple(self.bytes[b] for b in text[end - 1].encode())
 
     def _nbest(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best paths as (score, ids), best first; ties by ids."""
-        into: list = [None] * (len(text) + 1)
+        """The ``n`` best paths as (score, ids), best first.
+
+        As the heuristic is exact, each open path stands for a whole one of its
+        score. So no more of them are kept than paths are still wanted; among
+        equal ones the one nearest to the front goes first.
+        """
         forward = [0.0] + [-math.inf] * len(text)
         for end in range(1, len(text) + 1):
-            into[end] = list(self.edges_to(text, end))
-            forward[end] = max(forward[s] + x for s, x, _ in into[end])
-        queue, out = [(-forward[-1], (), len(text), 0.0)], []
-        while queue and (len(out) < n or -queue[0][0] >= out[n - 1][0] - 1e-12):
-            _, tail, at, done = heapq.heappop(queue)
+            forward[end] = max(forward[s] + x for s, x, _ in self.edges_to(text, end))
+        count, out = 0, []
+        queue: list[tuple] = [(-forward[-1], len(text), 0, 0.0, (), None)]
+        while queue and len(out) < n:
+            _, at, _, done, ids, tail = queue.pop(0)
             if at == 0:
-                out.append((done, tail))
-                if len(out) > 64 + n:
-                    break
+                found = list(ids)
+                while tail is not None:
+                    found += tail[0]
+                    tail = tail[1]
+                out.append((done, tuple(found)))
                 continue
-            for start, score, ids in into[at]:
-                heapq.heappush(queue, (-(done + score + forward[start]), ids + tail, start, done + score))
-        return sorted(out, key=lambda p: (-round(p[0], 9), p[1]))[:n]
+            for start, score, own in self.edges_to(text, at):
+                count += 1
+                total = done + score
+                queue.append((-round(total + forward[start], 9), start, count, total, own, (ids, tail)))
+            queue.sort(key=lambda p: p[:3])
+            del queue[n - len(out) :]
+        return out
 
     def best(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each segment: offsets into ids, ids, score, and the second's loss."""
@@ -318,8 +327,8 @@ def encode(docs: DataFrame, model_path: str, *, nbest: int = NBEST, id_col: str
 
     Defined cases: an empty text has one path, without ids and with score 0. A
     null text gives one row of rank 1 whose score, ids and round_trip are null.
-    Equal scores are ordered by their ids inside a segment, and by position
-    between segments. Characters outside the vocabulary become bytes. The space
+    Equal scores have a fixed order: that of the search inside a segment, and
+    by position between segments. Characters outside the vocabulary become bytes. The space
     mark U+2581 in a text is read as a space, as by the library, so it doesn't
     round-trip. Repeated rows give repeated results, null ids stay, whole texts
     count whatever their length. Other columns are not looked at.
