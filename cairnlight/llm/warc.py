@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 CRLF = "\r\n"
 BLOCK_TAGS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul"
+UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
 ENTITIES = [("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&euro;", "€"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")]
 DATE = "2024-01-01T00:00:00Z"
 
@@ -30,25 +31,24 @@ def page_text(html: Column) -> Column:
 
     Comments, scripts and styles go; one that isn't closed goes on to the end.
     """
-    x = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")
-    x = F.regexp_replace(x, r"(?is)<script\b.*?(?:</script\s*>|\z)", "")
-    x = F.regexp_replace(x, r"(?is)<style\b.*?(?:</style\s*>|\z)", "")
+    x = F.regexp_replace(html, UNSEEN, "")
     x = F.regexp_replace(x, rf"(?i)</?(?:{BLOCK_TAGS})\b[^<>]*>", "\n")
     x = _unescaped(F.regexp_replace(x, r"<[/!?a-zA-Z][^<>]*>", ""))
     x = F.regexp_replace(x, r"[ \t\f\r]+", " ")
-    x = F.regexp_replace(x, r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(x, r"^[ \n]+|[ \n]+$", "")
+    return F.btrim(F.regexp_replace(x, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
-def digest(block: Column) -> Column:
-    """sha1: and the SHA-1 in base 32, as WARC writers have it."""
-    h = F.sha1(F.encode(block, "UTF-8"))
+def digest(h: Column) -> Column:
+    """sha1: and a hexadecimal SHA-1 in base 32, as WARC writers have it."""
     groups = [F.lpad(F.conv(F.substring(h, 5 * k + 1, 5), 16, 32), 4, "0") for k in range(8)]
     return F.concat(F.lit("sha1:"), F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"))
 
 
 def record_id(*parts) -> Column:
-    h = F.md5(F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts]))
+    return _uuid(F.md5(F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])))
+
+
+def _uuid(h: Column) -> Column:
     cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
     return F.concat(F.lit("urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in cuts]))
 
@@ -81,7 +81,9 @@ def derivatives(source: DataFrame) -> DataFrame:
     responses give repeated records with the same ids. Pages of any length are
     converted whole. An empty table gives none.
     """
-    body = F.coalesce(F.col("body"), F.lit(""))
+    body, sha = F.col("body"), F.col("sha")
+    source = source.select("record_id", "target_uri", "warc_date", "http_header", F.coalesce("body", F.lit("")).alias("body"))
+    source = source.withColumn("sha", F.sha1(F.encode("body", "UTF-8")))
     lines = F.split(F.col("http_header"), CRLF)
     named = F.transform(F.filter(lines, lambda x, i: (i > 0) & (x != "")), lambda x: F.concat(F.lit("http-header: "), x))
     title = F.nullif(F.trim(F.regexp_replace(_unescaped(F.regexp_extract(body, r"(?is)<title\b[^<>]*>(.*?)</title\s*>", 1)), r"\s+", " ")), F.lit(""))
@@ -90,7 +92,7 @@ def derivatives(source: DataFrame) -> DataFrame:
     fields = F.concat(
         F.array_compact(F.array(_line("http-status-line", F.get(lines, F.lit(0))))),
         F.coalesce(named, none),
-        F.array_compact(F.array(_line("payload-digest", digest(body)), _line("title", title))),
+        F.array_compact(F.array(_line("payload-digest", digest(sha)), _line("title", title))),
         links,
     )
     base = source.select("record_id", "target_uri", "warc_date", F.array_join(F.transform(fields, lambda x: F.concat(x, F.lit(CRLF))), "").alias("meta"), page_text(body).alias("text"))
@@ -98,8 +100,9 @@ def derivatives(source: DataFrame) -> DataFrame:
         F.struct(F.lit("metadata").alias("t"), F.lit("application/warc-fields").alias("c"), F.col("meta").alias("b")),
         F.struct(F.lit("conversion").alias("t"), F.lit("text/plain; charset=utf-8").alias("c"), F.col("text").alias("b")),
     )
-    rows = base.select("record_id", "target_uri", "warc_date", F.explode(kinds).alias("k")).select("*", digest(F.col("k.b")).alias("d"), F.octet_length("k.b").cast("long").alias("n"))
-    own = record_id(F.col("k.t"), F.col("record_id"))
+    rows = base.select("record_id", "target_uri", "warc_date", F.explode(kinds).alias("k")).select("*", F.sha1(F.encode("k.b", "UTF-8")).alias("h"), F.md5(F.concat_ws("|", "k.t", "record_id")).alias("m"))
+    rows = rows.select("*", digest(F.col("h")).alias("d"), F.octet_length("k.b").cast("long").alias("n"), _uuid(F.col("m")).alias("own"))
+    own = F.col("own")
     header = F.array_compact(
         F.array(
             F.lit("WARC/1.1"),
@@ -144,11 +147,12 @@ def _sql_id(text: str) -> str:
 def sql() -> str:
     """``derivatives(responses(pages))`` in DuckDB's SQL."""
     text = "html"
-    for pattern, by in ((r"(?s)<!--.*?(?:-->|\z)", "''"), (r"(?is)<script\b.*?(?:</script\s*>|\z)", "''"), (r"(?is)<style\b.*?(?:</style\s*>|\z)", "''"), (rf"(?i)</?(?:{BLOCK_TAGS})\b[^<>]*>", "chr(10)"), (r"<[/!?a-zA-Z][^<>]*>", "''")):
+    for pattern, by in ((UNSEEN, "''"), (rf"(?i)</?(?:{BLOCK_TAGS})\b[^<>]*>", "chr(10)"), (r"<[/!?a-zA-Z][^<>]*>", "''")):
         text = f"regexp_replace({text}, '{pattern}', {by}, 'g')"
     text = _sql_unescaped(text)
-    for pattern, by in ((r"[ \t\f\r]+", "' '"), (r" ?\n[ \n]*", "chr(10)"), (r"^[ \n]+|[ \n]+$", "''")):
+    for pattern, by in ((r"[ \t\f\r]+", "' '"), (r" ?\n[ \n]*", "chr(10)")):
         text = f"regexp_replace({text}, '{pattern}', {by}, 'g')"
+    text = f"trim({text}, ' ' || chr(10))"
     title = f"nullif(trim(regexp_replace({_sql_unescaped(r"regexp_extract(html, '(?is)<title\b[^<>]*>(.*?)</title\s*>', 1)")}, '\\s+', ' ', 'g')), '')"
     nl = "chr(13) || chr(10)"
     return rf"""
