@@ -190,12 +190,12 @@ def q_refactorings(spark, sf_dir):
 WORDS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
 
-@query(f"""WITH w AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents), k AS (SELECT doc_id, len(list_distinct(w)) AS n1, len(w) AS t1, len(list_distinct(list_transform(w, lambda x: substr(x, 1, 2)))) AS n2 FROM w)
+@query(f"""WITH w AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents), k AS (SELECT doc_id, len(list_distinct(w)) AS n1, len(w) AS t1, len(list_distinct(list_transform(w, lambda x: length(x)))) AS n2 FROM w)
 SELECT doc_id, n1 + n2 AS vocabulary, 2 * t1 AS length, round(CASE WHEN n1 > 0 AND n2 > 0 THEN n1 * log2(n1) + n2 * log2(n2) ELSE 0 END, 6) AS calculated_length,
  round(CASE WHEN n1 + n2 > 0 THEN 2 * t1 * log2(n1 + n2) ELSE 0 END, 6) AS volume, round(CASE WHEN n2 > 0 THEN n1 / 2 * t1 / n2 ELSE 0 END, 6) AS difficulty FROM k""")
 def q_halstead(spark, sf_dir):
     w = table(spark, sf_dir, "documents").select("doc_id", text.words("text").alias("w"))
-    n1, n2 = F.size(F.array_distinct("w")), F.size(F.array_distinct(F.transform("w", lambda x: F.substring(x, 1, 2))))
+    n1, n2 = F.size(F.array_distinct("w")), F.size(F.array_distinct(F.transform("w", lambda x: F.length(x))))
     m = scores.halstead(F.col("n1"), F.col("n2"), F.col("t1"), F.col("t1"))
     df = w.select("doc_id", n1.alias("n1"), n2.alias("n2"), F.size("w").alias("t1"))
     return df.select("doc_id", *[(m[k] if k in ("vocabulary", "length") else F.round(m[k], 6)).alias(k) for k in ("vocabulary", "length", "calculated_length", "volume", "difficulty")])
