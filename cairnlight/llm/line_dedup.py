@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scratch import fresh
+from .scratch import fresh, stored
 
 HASHES = 4
 SEGMENT_BITS = 1 << 20
@@ -133,6 +133,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array((at - starts[owner]).astype(np.int32)))
 
     doc, text = F.col(id_col), F.col(text_col)
+    suspects = suspects.asNondeterministic()  # else a pushed filter evaluates it twice
     where = F.struct(doc.isNull().alias("n"), doc.alias("d"), F.xxhash64(text).alias("t"), F.col("i").alias("i"))
     found = (
         docs.where(text.isNotNull())
@@ -141,6 +142,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select(id_col, text_col, F.split(text, "\n", -1).alias("l"), F.explode("s").alias("i"))
         .select(F.get("l", F.col("i")).alias("line"), where.alias("w"))
     )
+    found = stored(found, "suspected_lines")
     first = found.groupBy("line").agg(F.min("w").alias("f"), F.count("*").alias("c")).where("c > 1").select(F.col("line").alias("line2"), "f")
     repeats = found.join(first, F.col("line") == F.col("line2")).select("w", (F.col("w") == F.col("f")).alias("is_first"))
     key, copy, later, every, id2, hash2 = fresh(docs, "text_hash", "copy", "later", "every", "id2", "hash2")
