@@ -31,6 +31,7 @@ from .words import chunks, row_sums, split_words
 PAD, END = "\x02", "\x03"
 BROADCAST_LABELS = 2_000_000
 FOLDS = 5
+SCORE_BYTES = 2 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -251,7 +252,7 @@ def _scorer(model: Model, sc):
     def score(text: pa.Array) -> pa.Array:
         held = Model(*shared.value)
         out = np.zeros((len(text), 3))
-        for start, part in chunks(text):
+        for start, part in chunks(text, SCORE_BYTES):
             offsets, codes, words = split_words(_clean(part))
             if len(words):
                 each = held.word_scores(words.to_pylist())
@@ -303,6 +304,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         trial = _read_model(model_rows(part, order), order)
         score = _scorer(trial, docs.sparkSession.sparkContext)
         threshold = _best_threshold(labelled.where("kind IN (1, 3)").select("kind", score("text").alias("s")), prior)
+        del trial, score
     full = windows.select("g", (F.col("n2") + F.col("n3")).alias("t"), (F.col("n0") + F.col("n1")).alias("o"))
     model = _read_model(model_rows(full, order), order)
     model.threshold, model.prior = threshold, prior
