@@ -281,7 +281,7 @@ def _best_threshold(scored: DataFrame, prior: float) -> float:
     return float((x[best - 1] + x[best]) / 2) if best else float(x[0])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 6, max_model_rows: int = 8_000_000) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 4, max_model_rows: int = 8_000_000) -> Model | None:
     """Fit both models on all labelled documents; None unless both classes occur.
 
     The threshold comes from a model of four fifths of the labelled rows, on

@@ -129,4 +129,4 @@ def test_joined_labels_and_lower_order(spark, docs_of, monkeypatch):
     monkeypatch.setattr(toxicity, "BROADCAST_LABELS", 0)
     b = toxicity.train(docs_of(rows), table)
     assert (a.keys == b.keys).all() and np.allclose(a.values, b.values)
-    assert toxicity.train(docs_of(rows), table, max_model_rows=2500).order < 6
+    assert toxicity.train(docs_of(rows), table, max_model_rows=1500).order < 4
