@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import audio, license_scan, line_dedup, mixing, records, scratch, sentencepieces, simhash, topk, toxicity, warc
 
@@ -56,8 +55,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest by inner product of every vector."""
-    found = topk.top_k(table(spark, sf_dir, "embeddings"), k=10)
-    return found.withColumn("score", F.round("score", 6))
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=10)
 
 
 def op10_telephony_pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,5 +131,5 @@ WITH s AS (
          round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])), 9) AS score
   FROM embeddings q JOIN embeddings x ON q.vec_id <> x.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id) AS INTEGER) AS rank FROM s)
-SELECT query_id, rank, neighbor_id, round(score, 6) AS score FROM r WHERE rank <= 10""",
+SELECT query_id, rank, neighbor_id, score FROM r WHERE rank <= 10""",
 }
