@@ -198,7 +198,7 @@ def q_halstead(spark, sf_dir):
     n1, n2 = F.size(F.array_distinct("w")), F.size(F.array_distinct(F.transform("w", lambda x: F.length(x))))
     m = scores.halstead(F.col("n1"), F.col("n2"), F.col("t1"), F.col("t1"))
     df = w.select("doc_id", n1.alias("n1"), n2.alias("n2"), F.size("w").alias("t1"))
-    return df.select("doc_id", *[(m[k] if k in ("vocabulary", "length") else F.round(m[k], 6)).alias(k) for k in ("vocabulary", "length", "calculated_length", "volume", "difficulty")])
+    return df.select("doc_id", *[(m[k].cast("long") if k in ("vocabulary", "length") else F.round(m[k], 6)).alias(k) for k in ("vocabulary", "length", "calculated_length", "volume", "difficulty")])
 
 
 @query("""WITH t AS (SELECT lang, CAST(ceil(strlen(text) / 4) AS BIGINT) AS t FROM documents), s AS (SELECT lang, count(*) AS n, list_sort(list(t)) AS s, CAST(sum(t) AS BIGINT) AS tokens_total, min(t) AS tokens_min, max(t) AS tokens_max, avg(t) AS a FROM t GROUP BY lang)
@@ -218,9 +218,10 @@ def q_quartiles_median(spark, sf_dir):
 
 @query(f"""WITH {E}, {R}, c AS (SELECT * FROM refs WHERE reference_type = 'FunctionCall' AND from_element_id IN (SELECT element_id FROM e WHERE element_type = 'Function') AND to_element_id IN (SELECT element_id FROM e WHERE element_type = 'Function'))
 SELECT from_element_id AS src, to_element_id AS dst, arg_min(CASE WHEN contains(reference_text, '::') THEN 'static' WHEN contains(reference_text, '.') THEN 'method' ELSE 'direct' END, (line, reference_text)) AS call_type,
- count(*) AS call_count, list_sort(list(line)) AS call_sites, from_element_id = to_element_id AS is_recursive FROM c GROUP BY 1, 2""")
+ count(*) AS call_count, array_to_string(list_sort(list(line)), ',') AS call_sites, from_element_id = to_element_id AS is_recursive FROM c GROUP BY 1, 2""")
 def q_call_chains(spark, sf_dir):
-    return graph.call_edges(views.references(spark, sf_dir), views.elements(spark, sf_dir))
+    df = graph.call_edges(views.references(spark, sf_dir), views.elements(spark, sf_dir))
+    return df.withColumn("call_sites", F.array_join(F.col("call_sites").cast("array<string>"), ","))
 
 
 @query(f"""WITH {E}, {R} SELECT from_element_id AS src, to_element_id AS dst, reference_type AS dependency_type, count(*) AS n, CASE reference_type WHEN 'TypeUsage' THEN 0.7 ELSE 0.3 END::DOUBLE AS strength, true AS is_direct
