@@ -9,9 +9,10 @@ contexts that neither class knows tell nothing. Words that occur once, or never
 before, are still judged by their parts.
 
 All counts are taken from all labelled rows, as distributed aggregates. The
-model that scores is broadcast to Python workers; it holds distinct windows,
-whose number the alphabet bounds. Its rows are counted first: beyond
-``max_model_rows`` the order falls by one until they fit.
+model that scores holds distinct windows and is broadcast to Python workers. Its
+rows are counted first: a model of more than ``max_broadcast_rows`` stays a
+stored table by window hash, which the distinct words' windows are joined to.
+The order, and with it all scores, are the same either way.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ PAD, END = "\x02", "\x03"
 BROADCAST_LABELS = 2_000_000
 FOLDS = 5
 SCORE_BYTES = 2 << 20
+WINDOW_BYTES = 128 << 10
+#: Kinds whose rows are at most a few for each character of the alphabet.
+SMALL_KINDS = (2, 3, 5)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -202,6 +206,16 @@ class Model:
         return np.stack([np.bincount(owner, scores[:, 0], len(words)), np.bincount(owner, scores[:, 1], len(words)), np.bincount(owner, minlength=len(words))], axis=1)
 
 
+@dataclass
+class StoredModel:
+    """The rows of a model too large to broadcast: kind, key, a, b."""
+
+    order: int
+    rows: DataFrame
+    threshold: float = 0.0
+    prior: float = 0.0
+
+
 def _hash_rows(batches):
     for batch in batches:
         kinds = batch.column(0).to_numpy()
@@ -216,12 +230,16 @@ def _hash_rows(batches):
                 h = h * _PRIME + cps[:, k].astype(np.uint64) + np.uint64(1)
             keys[at] = _mixed(h, int(kind))
         values = [batch.column(k).cast(pa.float32()) for k in (2, 3)]
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *values], ["key", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *values], ["key", "a", "b"]).add_column(0, "kind", pa.array(kinds, pa.int32()))
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    return rows.mapInArrow(_hash_rows, "kind int, key long, a float, b float")
 
 
 def _read_model(rows: DataFrame, order: int) -> Model:
     """Collect the model as 16 bytes a row; executors hash the windows."""
-    table = rows.mapInArrow(_hash_rows, "key long, a float, b float").toArrow()
+    table = _hashed(rows).drop("kind").toArrow()
     keys = table["key"].to_numpy().view(np.uint64)
     by = np.argsort(keys)
     values = np.empty((len(by), 2), np.float32)
@@ -264,6 +282,85 @@ def _scorer(model: Model, sc):
     return score.asNondeterministic()
 
 
+def _text_words(batches):
+    """Rows (text_id, word, c): how often each word occurs in a text."""
+    for batch in batches:
+        for start, text in chunks(batch.column(1), SCORE_BYTES):
+            offsets, codes, words = split_words(_clean(text))
+            if len(words):
+                row = np.repeat(np.arange(len(text)), np.diff(offsets))
+                pairs, counts = np.unique(row * len(words) + codes, return_counts=True)
+                ids = batch.column(0).take(pa.array(start + pairs // len(words)))
+                yield pa.RecordBatch.from_arrays([ids, words.take(pa.array(pairs % len(words))), pa.array(counts)], ["text_id", "word", "c"])
+
+
+def _kinds(order: int) -> list[int]:
+    """The kinds of rows that a window is looked up in, in this order."""
+    return [kind for k in range(order, 0, -1) for kind in (2 * k, 2 * k + 1)]
+
+
+def _word_windows(order: int):
+    """Rows (word_id, window, keys): the windows of a word and their model keys."""
+
+    def run(batches):
+        for batch in batches:
+            for start, words in chunks(batch.column(1), WINDOW_BYTES):
+                cps = _code_points(words.to_pylist(), order)
+                at, owner = _places(cps, order)
+                count = len(cps) - order + 1
+                keys = [_mixed(_hashes(cps, order - k if k < order else 0, k - kind % 2, count)[at], kind) for kind in _kinds(order) for k in [kind // 2]]
+                flat = pa.array(np.stack(keys, axis=1).ravel().view(np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(keys), dtype=np.int32)), flat)
+                ids = batch.column(0).take(pa.array(start + owner))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(keys[0].view(np.int64)), lists], ["word_id", "window", "keys"])
+
+    return run
+
+
+def _window_scores(windows: DataFrame, model: StoredModel) -> DataFrame:
+    """(window, t, o) by the steps of ``Model.word_scores``, as joins."""
+    kinds, n = _kinds(model.order), model.order
+    slots = windows.select("window", "keys").dropDuplicates(["window"]).select("window", F.posexplode("keys").alias("slot", "key"))
+    slots = slots.withColumn("kind", F.get(F.array(*map(F.lit, kinds)), F.col("slot")))
+    few = F.col("kind").isin(*SMALL_KINDS)
+    found = slots.where(~few).join(model.rows.where(~few), ["kind", "key"]).unionByName(slots.where(few).join(F.broadcast(model.rows.where(few)), ["kind", "key"]))
+    values = [F.max(F.when(F.col("kind") == k, F.col("a").cast("double"))).alias(f"a{k}") for k in kinds]
+    values += [F.max(F.when(F.col("kind") == k, F.col("b").cast("double"))).alias(f"b{k}") for k in (2 * n, 2 * n + 1)]
+    shared = F.lit(0.0)
+    for k in range(1, n):
+        shared = F.coalesce(F.col(f"a{2 * k}"), F.coalesce(F.col(f"a{2 * k + 1}"), F.lit(0.0)) + shared)
+    t, o = (F.coalesce(F.col(f"{c}{2 * n}"), F.coalesce(F.col(f"{c}{2 * n + 1}"), F.lit(0.0)) + shared) for c in "ab")
+    return found.groupBy("window").agg(*values).select("window", t.alias("t"), o.alias("o"))
+
+
+def _scored_by_joins(df: DataFrame, model: StoredModel, text_col: str, out: str) -> DataFrame:
+    """As ``_scorer``, with the model left where it is stored.
+
+    Each distinct word is scored once; equal texts share their sums.
+    """
+    (key,) = fresh(df, "text_id")
+    text_id = F.unhex(F.md5(F.col(text_col)))
+    pairs = df.where(F.col(text_col).isNotNull()).select(text_id.alias("text_id"), F.col(text_col).alias("text"))
+    pairs = pairs.mapInArrow(_text_words, "text_id binary, word string, c long").groupBy("text_id", "word").agg(F.max("c").alias("c"))
+    pairs = stored(pairs.withColumn("word_id", F.unhex(F.md5("word"))), "text_words")
+    words = pairs.groupBy("word_id").agg(F.first("word").alias("word"))
+    windows = words.mapInArrow(_word_windows(model.order), "word_id binary, window long, keys array<long>")
+    each = windows.select("word_id", "window").join(_window_scores(windows, model), "window")
+    each = each.groupBy("word_id").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.count("*").alias("n"))
+    texts = pairs.select("text_id", "word_id", "c").join(each, "word_id").groupBy(F.col("text_id").alias(key))
+    n = F.sum(F.col("c") * F.col("n"))
+    texts = texts.agg(F.struct((F.sum(F.col("c") * F.col("t")) / n).alias("t"), (F.sum(F.col("c") * F.col("o")) / n).alias("o"), n.alias("n")).alias(out))
+    none = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("o"), F.lit(1).cast("long").alias("n"))
+    scored = df.withColumn(key, text_id).join(texts, key, "left").withColumn(out, F.coalesce(F.col(out), none))
+    return scored.drop(key)
+
+
+def _scored(df: DataFrame, model: Model | StoredModel, text_col: str, out: str) -> DataFrame:
+    if isinstance(model, StoredModel):
+        return _scored_by_joins(df, model, text_col, out)
+    return df.withColumn(out, _scorer(model, df.sparkSession.sparkContext)(F.col(text_col)))
+
+
 def _margin(s, prior: float):
     """The difference per character, with the prior log odds spread over the text."""
     return s["t"] - s["o"] + F.lit(prior) / s["n"]
@@ -281,18 +378,26 @@ def _best_threshold(scored: DataFrame, prior: float) -> float:
     return float((x[best - 1] + x[best]) / 2) if best else float(x[0])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 4, max_model_rows: int = 8_000_000) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 4, max_broadcast_rows: int = 8_000_000, max_model_rows: int | None = None) -> Model | StoredModel | None:
     """Fit both models on all labelled documents; None unless both classes occur.
 
     The threshold comes from a model of four fifths of the labelled rows, on
     the rest; the returned model counts all of them. A label row with a null is
-    ignored; a document with contradicting labels counts as toxic.
+    ignored; a document with contradicting labels counts as toxic. A model of
+    more than ``max_broadcast_rows`` is a ``StoredModel``, with the same scores.
+    The order falls only for a caller that asks for it by ``max_model_rows``.
     """
     labelled = _labelled(docs, labels, id_col, text_col)
     counted = labelled.mapInArrow(_count_windows(order), "g string, n0 long, n1 long, n2 long, n3 long")
     windows = stored(counted.groupBy("g").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "n2", "n3")]), "windows")
-    while order > 2 and 2 * windows.count() > max_model_rows:
+    while max_model_rows is not None and order > 2 and 2 * windows.count() > max_model_rows:
         windows, order = stored(_shortened(windows, order), "windows"), order - 1
+    large = 2 * windows.count() > max_broadcast_rows
+
+    def fitted(counts):
+        rows = model_rows(counts, order)
+        return StoredModel(order, stored(_hashed(rows), "model")) if large else _read_model(rows, order)
+
     total = windows.agg(F.sum(F.col("n0") + F.col("n1")), F.sum(F.col("n2") + F.col("n3")), F.sum("n0"), F.sum("n2")).first()
     if not total[0] or not total[1]:
         return None
@@ -301,17 +406,16 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     threshold = 0.0
     if total[2] and total[3]:
         part = windows.select("g", F.col("n2").alias("t"), F.col("n0").alias("o")).where("t + o > 0")
-        trial = _read_model(model_rows(part, order), order)
-        score = _scorer(trial, docs.sparkSession.sparkContext)
-        threshold = _best_threshold(labelled.where("kind IN (1, 3)").select("kind", score("text").alias("s")), prior)
-        del trial, score
+        trial = fitted(part)
+        threshold = _best_threshold(_scored(labelled.where("kind IN (1, 3)"), trial, "text", "s").select("kind", "s"), prior)
+        del trial
     full = windows.select("g", (F.col("n2") + F.col("n3")).alias("t"), (F.col("n0") + F.col("n1")).alias("o"))
-    model = _read_model(model_rows(full, order), order)
+    model = fitted(full)
     model.threshold, model.prior = threshold, prior
     return model
 
 
-def classify(docs: DataFrame, model: Model | None, *, text_col: str = "text", toxic_col: str = "toxic", toxic_ll: str = "ll_toxic", ordinary_ll: str = "ll_ordinary") -> DataFrame:
+def classify(docs: DataFrame, model: Model | StoredModel | None, *, text_col: str = "text", toxic_col: str = "toxic", toxic_ll: str = "ll_toxic", ordinary_ll: str = "ll_ordinary") -> DataFrame:
     """``docs`` with both log-likelihoods per character and the decision.
 
     A document is toxic if the difference, with the classes' prior log odds
@@ -324,9 +428,8 @@ def classify(docs: DataFrame, model: Model | None, *, text_col: str = "text", to
     flag, lt, lo, s = fresh(docs, toxic_col, toxic_ll, ordinary_ll, "scores")
     if model is None:
         return docs.withColumns({lt: F.lit(0.0), lo: F.lit(0.0), flag: F.lit(False)})
-    score = _scorer(model, docs.sparkSession.sparkContext)
     blank = F.coalesce(F.regexp_like(F.col(text_col), F.lit(r"^\s*$")), F.lit(True))
-    scored = docs.withColumn(s, score(F.col(text_col)))
+    scored = _scored(docs, model, text_col, s)
     return scored.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         F.col(s)["t"].alias(lt),

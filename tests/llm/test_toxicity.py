@@ -130,3 +130,22 @@ def test_joined_labels_and_lower_order(spark, docs_of, monkeypatch):
     b = toxicity.train(docs_of(rows), table)
     assert (a.keys == b.keys).all() and np.allclose(a.values, b.values)
     assert toxicity.train(docs_of(rows), table, max_model_rows=1500).order < 4
+
+
+def test_large_model_keeps_its_order_and_scores(spark, docs_of):
+    rows, labels = corpus(60)
+    rows += [(100, None), (101, ""), (102, " \n"), (103, rows[0][1]), (104, "漢字とカナ 한국어 " + "aGVsbG8gd29ybGQ" * 300), (None, "zzz idiot Idiot"), (105, "\U0001f600 x\x02y")]
+    df, table = docs_of(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    small, large = toxicity.train(df, table), toxicity.train(df, table, max_broadcast_rows=100)
+    assert isinstance(small, toxicity.Model) and isinstance(large, toxicity.StoredModel)
+    assert large.order == small.order == 4 and abs(large.threshold - small.threshold) < 1e-3
+    assert large.rows.count() == len(small.keys)
+
+    def scores(model):
+        out = toxicity.classify(df, model)
+        assert out.columns == [*df.columns, "ll_toxic", "ll_ordinary", "_toxic"]
+        return sorted(((r["doc_id"] or -1, r["ll_toxic"], r["ll_ordinary"], r["_toxic"]) for r in out.collect()))
+
+    a, b = scores(small), scores(large)
+    assert [(x[0], x[3]) for x in a] == [(x[0], x[3]) for x in b] and len(a) == len(rows)
+    assert np.allclose([x[1:3] for x in a], [x[1:3] for x in b], atol=1e-6)
