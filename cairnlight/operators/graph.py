@@ -183,6 +183,53 @@ def cycles(edges: DataFrame, longest: int = 3) -> DataFrame:
     return out.withColumns({"length": F.size("cycle"), "strength": 1 / F.size("cycle")})
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """The edges left when those out of sources and into sinks go, again and again."""
+    count = edges.count()
+    while count:
+        kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        edges = _checkpointed(kept.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        before, count = count, edges.count()
+        if count == before:
+            break
+    return edges
+
+
+def cyclic_components(edges: DataFrame) -> DataFrame:
+    """(node, component, size) of every vertex on a cycle of any length.
+
+    Components are strongly connected ones, named by their least vertex; one of
+    a single vertex is an edge to itself. The least vertex that reaches each
+    vertex is spread forwards; of those with the same one, the vertices that
+    reach it in turn are its component, which is set aside until no edges remain.
+    """
+    edges = _checkpointed(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    out = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
+    left = _trimmed(_checkpointed(edges.where("src <> dst")))
+    while not left.isEmpty():
+        least = _checkpointed(left.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))
+        changed = least
+        while not changed.isEmpty():
+            step = left.join(changed, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("new"))
+            merged = _checkpointed(least.join(step, "node", "left").withColumn("lower", F.coalesce(F.col("new") < F.col("component"), F.lit(False))))
+            least = merged.select("node", F.least("component", "new").alias("component"))
+            changed = merged.where("lower").select("node", F.col("new").alias("component"))
+        ends = left.join(least.select(F.col("node").alias("src"), "component"), "src")
+        inside = _checkpointed(ends.join(least.select(F.col("node").alias("dst"), "component"), ["dst", "component"]))
+        found = frontier = _checkpointed(least.where("node = component"))
+        while not frontier.isEmpty():
+            back = inside.join(frontier.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "component").distinct()
+            frontier = _checkpointed(back.join(found, "node", "left_anti"))
+            found = found.unionByName(frontier)
+        found = _checkpointed(found)
+        out = out.unionByName(found.join(found.groupBy("component").count().where("count > 1"), "component", "left_semi").select("node", "component"))
+        for end in ("src", "dst"):
+            left = left.join(found.select(F.col("node").alias(end)), end, "left_anti")
+        left = _trimmed(_checkpointed(left.select("src", "dst")))
+    out = out.groupBy("node").agg(F.min("component").alias("component"))
+    return out.join(out.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "component", "size")
+
+
 def dependency_analysis(edges: DataFrame) -> DataFrame:
     """Totals of edges and the ten sources with the most, ties by id."""
     by = edges.groupBy("src").agg(F.count("*").alias("n"))

@@ -339,6 +339,16 @@ def q_cycles(spark, sf_dir):
     return graph.cycles(graph._checkpointed(edges.distinct()), 3).select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"), "length")
 
 
+@query(f"""WITH RECURSIVE {R}, x AS (SELECT DISTINCT CAST(from_element_id AS BIGINT) AS src, CAST(to_element_id AS BIGINT) AS dst FROM refs),
+c AS (SELECT * FROM x WHERE src IN (SELECT dst FROM x) AND dst IN (SELECT src FROM x)),
+r AS (SELECT src AS a, dst AS b FROM c UNION SELECT r.a, c.dst FROM r JOIN c ON r.b = c.src)
+SELECT p.a AS node, min(p.b) AS component, count(*) AS size FROM r p JOIN r q ON p.a = q.b AND p.b = q.a GROUP BY p.a""")
+def q_cyclic_components(spark, sf_dir):
+    """All vertices on cycles, of whatever length; q_cycles lists those up to 3."""
+    edges = views.references(spark, sf_dir).select(F.col("from_element_id").cast("long").alias("src"), F.col("to_element_id").cast("long").alias("dst"))
+    return graph.cyclic_components(edges)
+
+
 @query(f"WITH {C} SELECT src, count(*) AS n FROM calls GROUP BY src ORDER BY n DESC, src LIMIT 10")
 def q_dependency_analysis(spark, sf_dir):
     return graph.dependency_analysis(views.calls(spark, sf_dir))

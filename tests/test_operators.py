@@ -142,3 +142,19 @@ def test_registry(spark):
         registry.execute(analyzers.Context(analyzers.Phase.POST_PROJECT, views.elements(spark, SF)))
     registry.enabled.add("metrics")
     assert registry.active(analyzers.Phase.POST_PROJECT) == ["metrics"]
+
+
+@pytest.mark.parametrize("edges", [random_edges(1), random_edges(3, 20, 24), [(0, 1), (1, 2), (2, 3), (3, 4), (4, 0), (4, 5), (5, 6), (7, 5), (6, 8), (8, 6), (9, 9)], [(0, 1)]])
+def test_cycles_of_any_length(spark, edges):
+    reach = set(edges)
+    while True:
+        more = {(a, d) for a, b in reach for c, d in edges if b == c} - reach
+        if not more:
+            break
+        reach |= more
+    want = {}
+    for a in {a for a, b in reach if (b, a) in reach}:
+        both = [b for x, b in reach if x == a and (b, a) in reach]
+        want[a] = (min(both), len(both))
+    got = graph.cyclic_components(spark.createDataFrame(edges, "src long, dst long")).collect()
+    assert {r["node"]: (r["component"], r["size"]) for r in got} == want and len(got) == len(want)
