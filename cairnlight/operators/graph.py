@@ -8,6 +8,7 @@ explode, with a checkpoint for each level.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -71,13 +72,16 @@ def named(edges: DataFrame, elements: DataFrame, id_col: str = "element_id", nam
     return df.join(v.withColumnsRenamed({"_id": "dst", "_name": "dst_name"}), "dst")
 
 
-def paths(edges: DataFrame, starts: DataFrame, max_depth: int, keep: Column | None = None) -> DataFrame:
+def paths(edges: DataFrame, starts: DataFrame, max_depth: int | None, keep: Column | None = None) -> DataFrame:
     """(start, node, depth, path) of all simple paths from ``starts`` (node).
 
-    Depth counts edges, from 0 at the start to ``max_depth``. ``keep`` is a
-    condition on the edges followed; the start itself need not meet it.
+    Depth counts edges, from 0 at the start to ``max_depth``, or to the end of
+    all paths if that is None; Spark's limits on recursion then raise an error.
+    ``keep`` is a condition on the edges followed; the start itself need not
+    meet it.
     """
     spark, tag = edges.sparkSession, uuid.uuid4().hex
+    within = "" if max_depth is None else f"w.depth < {int(max_depth)} AND "
     used = (edges if keep is None else edges.where(keep)).select("src", "dst").distinct()
     used.createOrReplaceTempView(f"e_{tag}")
     starts.select("node").distinct().createOrReplaceTempView(f"s_{tag}")
@@ -87,7 +91,7 @@ def paths(edges: DataFrame, starts: DataFrame, max_depth: int, keep: Column | No
           UNION ALL
           SELECT w.start, e.dst, w.depth + 1, array_append(w.path, e.dst)
           FROM walk w JOIN e_{tag} e ON e.src = w.node
-          WHERE w.depth < {int(max_depth)} AND NOT array_contains(w.path, e.dst))
+          WHERE {within}NOT array_contains(w.path, e.dst))
         SELECT * FROM walk""")
     return out
 
@@ -111,16 +115,16 @@ def hierarchy(nodes: DataFrame, max_depth: int = 100) -> DataFrame:
         SELECT * FROM h""")
 
 
-def levels(edges: DataFrame, starts: DataFrame, max_depth: int, inclusive: bool = True) -> DataFrame:
+def levels(edges: DataFrame, starts: DataFrame, max_depth: int | None, inclusive: bool = True) -> DataFrame:
     """(node, depth, via): the least depth of every vertex that is reached.
 
     ``via`` is the lowest predecessor on a shortest path. With ``inclusive``
-    off, vertices at ``max_depth`` are left out.
+    off, vertices at ``max_depth`` are left out. None goes on to the last vertex.
     """
     used = _checkpointed(edges.select("src", "dst").distinct())
     seen = _checkpointed(starts.select("node", F.lit(0).alias("depth"), F.lit(None).cast(used.schema["src"].dataType).alias("via")).distinct())
-    last = max_depth if inclusive else max_depth - 1
-    for depth in range(1, last + 1):
+    depths = itertools.count(1) if max_depth is None else range(1, max_depth + inclusive)
+    for depth in depths:
         frontier = seen.where(F.col("depth") == depth - 1).select(F.col("node").alias("src"))
         found = used.join(frontier, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("via"))
         found = _checkpointed(found.join(seen, "node", "left_anti").select("node", F.lit(depth).alias("depth"), "via"))
@@ -130,9 +134,9 @@ def levels(edges: DataFrame, starts: DataFrame, max_depth: int, inclusive: bool
     return seen
 
 
-def discovered_edges(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
-    """(src, dst, depth): all edges out of vertices reached before ``max_depth``."""
-    reached = levels(edges, starts, max_depth - 1).select(F.col("node").alias("src"), (F.col("depth") + 1).alias("depth"))
+def discovered_edges(edges: DataFrame, starts: DataFrame, max_depth: int | None) -> DataFrame:
+    """(src, dst, depth): all edges out of vertices reached before ``max_depth``, if any."""
+    reached = levels(edges, starts, None if max_depth is None else max_depth - 1).select(F.col("node").alias("src"), (F.col("depth") + 1).alias("depth"))
     return edges.select("src", "dst").distinct().join(reached, "src").select("src", "dst", "depth")
 
 

@@ -280,10 +280,11 @@ def _stored_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return calls, graph._checkpointed(_start(calls))
 
 
-def _walk(step: str, depth: int) -> str:
+def _walk(step: str, depth: int | None) -> str:
     a, b = step.split(">")
+    within = "" if depth is None else f"w.depth < {depth} AND "
     return f"""w AS (SELECT node, 0 AS depth, [node] AS path FROM s UNION ALL SELECT c.{b}, w.depth + 1, list_append(w.path, c.{b}) FROM w JOIN calls c ON c.{a} = w.node
- WHERE w.depth < {depth} AND NOT list_contains(w.path, c.{b}))"""
+ WHERE {within}NOT list_contains(w.path, c.{b}))"""
 
 
 @query(f"WITH RECURSIVE {C}, {START}, {_walk('src>dst', 4)} SELECT node, depth, array_to_string(path, '>') AS path FROM w")
@@ -310,6 +311,30 @@ def q_find_dependents(spark, sf_dir):
     return graph.discovered_edges(calls, start, 3)
 
 
+@query(f"WITH RECURSIVE {C}, {START}, {_walk('src>dst', None)} SELECT node, depth, array_to_string(path, '>') AS path FROM w")
+def q_dependency_tree_whole(spark, sf_dir):
+    calls, start = _stored_calls(spark, sf_dir)
+    return graph.paths(calls, start, None).select("node", "depth", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+@query(f"WITH RECURSIVE {C}, s AS (SELECT dst AS node FROM calls GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1), {_walk('dst>src', None)} SELECT node, depth, array_to_string(path, '>') AS path FROM w")
+def q_call_tree_backward_whole(spark, sf_dir):
+    calls = graph._checkpointed(graph.reversed_edges(views.calls(spark, sf_dir)))
+    return graph.paths(calls, graph._checkpointed(_start(calls)), None).select("node", "depth", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+@query(f"WITH RECURSIVE {C}, {START}, {_walk('src>dst', None)} SELECT node, min(depth) AS depth FROM w GROUP BY node")
+def q_bfs_levels_whole(spark, sf_dir):
+    calls, start = _stored_calls(spark, sf_dir)
+    return graph.levels(calls, start, None).select("node", "depth")
+
+
+@query(f"WITH RECURSIVE {C}, {START}, {_walk('src>dst', None)} SELECT c.src, c.dst, min(w.depth) + 1 AS depth FROM w JOIN calls c ON c.src = w.node GROUP BY 1, 2")
+def q_find_dependents_whole(spark, sf_dir):
+    calls, start = _stored_calls(spark, sf_dir)
+    return graph.discovered_edges(calls, start, None)
+
+
 @query(f"WITH RECURSIVE {C}, {START}, {_walk('src>dst', 12)} SELECT node, CAST(min(depth) AS DOUBLE) AS distance, array_to_string(min(path) FILTER (WHERE depth = m), '>') AS path, CAST(min(depth) AS INT) AS edge_count FROM (SELECT *, min(depth) OVER (PARTITION BY node) AS m FROM w) GROUP BY node")
 def q_shortest_path(spark, sf_dir):
     calls, start = _stored_calls(spark, sf_dir)

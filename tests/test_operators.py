@@ -158,3 +158,16 @@ def test_cycles_of_any_length(spark, edges):
         want[a] = (min(both), len(both))
     got = graph.cyclic_components(spark.createDataFrame(edges, "src long, dst long")).collect()
     assert {r["node"]: (r["component"], r["size"]) for r in got} == want and len(got) == len(want)
+
+
+def test_walks_without_a_depth_are_whole(spark):
+    edges = [(k, k + 1) for k in range(12)] + [(3, 7), (12, 0)]
+    df, start = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(0,)], "node long")
+    simple = brute_paths(edges, 0, 99)
+    assert max(map(len, simple)) == 13
+    assert sorted(tuple(r["path"]) for r in graph.paths(df, start, None).collect()) == sorted(simple)
+    depth = {}
+    for p in sorted(simple, key=len):
+        depth.setdefault(p[-1], len(p) - 1)
+    assert {r["node"]: r["depth"] for r in graph.levels(df, start, None).collect()} == depth
+    assert {(r["src"], r["dst"], r["depth"]) for r in graph.discovered_edges(df, start, None).collect()} == {(a, b, depth[a] + 1) for a, b in edges}
