@@ -235,11 +235,24 @@ def cyclic_components(edges: DataFrame) -> DataFrame:
 
 
 def dependency_analysis(edges: DataFrame) -> DataFrame:
-    """Totals of edges and the ten sources with the most, ties by id."""
+    """The ten sources with the most edges, ties by id; for all, ``dependency_totals``."""
     by = edges.groupBy("src").agg(F.count("*").alias("n"))
     return by.orderBy(F.desc("n"), "src").limit(10)
 
 
+def dependency_totals(edges: DataFrame) -> DataFrame:
+    """One row over all edges (src, dst, is_direct).
+
+    An edge is cyclic if it lies on a cycle of any length; ``cyclic_components``
+    counts the separate groups of those. A stored edge has path length 1.
+    """
+    edges = _checkpointed(edges.select("src", "dst", "is_direct"))
+    groups = _checkpointed(cyclic_components(edges))
+    ends = edges.join(groups.select(F.col("node").alias("src"), F.col("component").alias("a")), "src", "left").join(groups.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst", "left")
+    totals = ends.agg(F.count("*").alias("total"), F.count_if("is_direct").alias("direct"), F.count_if(F.col("a") == F.col("b")).alias("cyclic"), F.avg(F.lit(1.0)).alias("average_path_length"))
+    return totals.crossJoin(groups.agg(F.countDistinct("component").alias("cyclic_components")))
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("neighbors"))
 

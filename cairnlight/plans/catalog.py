@@ -379,6 +379,17 @@ def q_dependency_analysis(spark, sf_dir):
     return graph.dependency_analysis(views.calls(spark, sf_dir))
 
 
+@query(f"""WITH RECURSIVE {E}, {R}, d AS (SELECT from_element_id AS src, to_element_id AS dst, reference_type FROM refs
+ WHERE reference_type IN ('TypeUsage', 'VariableAccess') AND from_element_id IN (SELECT element_id FROM e) AND to_element_id IN (SELECT element_id FROM e) GROUP BY 1, 2, 3),
+c AS (SELECT DISTINCT src, dst FROM d WHERE src IN (SELECT dst FROM d) AND dst IN (SELECT src FROM d)),
+r AS (SELECT src AS a, dst AS b FROM c UNION SELECT r.a, c.dst FROM r JOIN c ON r.b = c.src),
+g AS (SELECT p.a, min(p.b) AS component FROM r p JOIN r q ON p.a = q.b AND p.b = q.a GROUP BY p.a)
+SELECT count(*) AS total, count(*) AS direct, count(r.a) AS cyclic, avg(CAST(1 AS DOUBLE)) AS average_path_length, (SELECT count(DISTINCT component) FROM g) AS cyclic_components
+FROM d LEFT JOIN r ON r.a = d.dst AND r.b = d.src""")
+def q_dependency_totals(spark, sf_dir):
+    return graph.dependency_totals(graph.dependency_edges(views.references(spark, sf_dir), views.elements(spark, sf_dir)))
+
+
 @query(f"WITH {C} SELECT src, array_to_string(list_sort(list(DISTINCT dst)), ',') AS neighbors FROM calls GROUP BY src")
 def q_adjacency(spark, sf_dir):
     return graph.adjacency(views.calls(spark, sf_dir)).withColumn("neighbors", F.array_join(F.col("neighbors").cast("array<string>"), ","))

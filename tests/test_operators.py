@@ -171,3 +171,11 @@ def test_walks_without_a_depth_are_whole(spark):
         depth.setdefault(p[-1], len(p) - 1)
     assert {r["node"]: r["depth"] for r in graph.levels(df, start, None).collect()} == depth
     assert {(r["src"], r["dst"], r["depth"]) for r in graph.discovered_edges(df, start, None).collect()} == {(a, b, depth[a] + 1) for a, b in edges}
+
+
+def test_dependency_totals(spark):
+    edges = [(0, 1, True), (1, 2, True), (2, 3, False), (3, 0, True), (3, 4, True), (4, 4, True), (5, 0, False), (0, 1, False)]
+    row = graph.dependency_totals(spark.createDataFrame(edges, "src long, dst long, is_direct boolean")).first().asDict()
+    assert row == {"total": 8, "direct": 5, "cyclic": 6, "average_path_length": 1.0, "cyclic_components": 2}
+    none = graph.dependency_totals(spark.createDataFrame([], "src long, dst long, is_direct boolean")).first()
+    assert none["total"] == 0 and none["average_path_length"] is None
