@@ -248,21 +248,17 @@ def _read_model(rows: DataFrame, order: int) -> Model:
     return Model(order, keys[by], values)
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id_col: str) -> DataFrame:
     """Texts with ``kind``: 2 x toxic + (1 in the fold that is held out)."""
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    held = (F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0).cast("int")
-    known = known.select(F.col("doc_id").alias("label_id"), ((F.col("toxic") != 0).cast("int") * 2 + held).alias("kind"))
+    known = labels.select(F.col(f"`{label_id_col}`").alias("label_id"), "toxic").where("label_id IS NOT NULL AND toxic IS NOT NULL").groupBy("label_id").agg(F.max("toxic").alias("toxic"))
+    held = (F.pmod(F.xxhash64("label_id"), F.lit(FOLDS)) == 0).cast("int")
+    known = known.select("label_id", ((F.col("toxic") != 0).cast("int") * 2 + held).alias("kind"))
     if labels.count() <= BROADCAST_LABELS:
         known = F.broadcast(known)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return texts.join(known, F.col("id") == F.col("label_id")).select("text", "kind")
 
 
-def _shortened(windows: DataFrame, order: int) -> DataFrame:
-    return windows.groupBy(F.substring("g", 2, order - 1).alias("g")).agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "n2", "n3")])
-
-
 def _scorer(model: Model, sc):
     shared = sc.broadcast((model.order, model.keys, model.values))
 
@@ -378,20 +374,18 @@ def _best_threshold(scored: DataFrame, prior: float) -> float:
     return float((x[best - 1] + x[best]) / 2) if best else float(x[0])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 4, max_broadcast_rows: int = 8_000_000, max_model_rows: int | None = None) -> Model | StoredModel | None:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", order: int = 4, max_broadcast_rows: int = 8_000_000) -> Model | StoredModel | None:
     """Fit both models on all labelled documents; None unless both classes occur.
 
     The threshold comes from a model of four fifths of the labelled rows, on
     the rest; the returned model counts all of them. A label row with a null is
     ignored; a document with contradicting labels counts as toxic. A model of
     more than ``max_broadcast_rows`` is a ``StoredModel``, with the same scores.
-    The order falls only for a caller that asks for it by ``max_model_rows``.
+    ``labels`` has the ids of documents in ``label_id_col``.
     """
-    labelled = _labelled(docs, labels, id_col, text_col)
+    labelled = _labelled(docs, labels, id_col, text_col, label_id_col)
     counted = labelled.mapInArrow(_count_windows(order), "g string, n0 long, n1 long, n2 long, n3 long")
     windows = stored(counted.groupBy("g").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "n2", "n3")]), "windows")
-    while max_model_rows is not None and order > 2 and 2 * windows.count() > max_model_rows:
-        windows, order = stored(_shortened(windows, order), "windows"), order - 1
     large = 2 * windows.count() > max_broadcast_rows
 
     def fitted(counts):

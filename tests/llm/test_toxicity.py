@@ -122,14 +122,47 @@ def test_without_both_classes_nothing_is_toxic(spark, docs_of):
     assert toxicity.train(docs_of([]), spark.createDataFrame([(1, 1, 1)], schema)) is None
 
 
-def test_joined_labels_and_lower_order(spark, docs_of, monkeypatch):
+def test_joined_labels(spark, docs_of, monkeypatch):
     rows, labels = corpus(60)
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     a = toxicity.train(docs_of(rows), table)
     monkeypatch.setattr(toxicity, "BROADCAST_LABELS", 0)
     b = toxicity.train(docs_of(rows), table)
     assert (a.keys == b.keys).all() and np.allclose(a.values, b.values)
-    assert toxicity.train(docs_of(rows), table, max_model_rows=1500).order < 4
+    c = toxicity.train(docs_of(rows), table.withColumnRenamed("doc_id", "key"), label_id_col="key")
+    assert (a.keys == c.keys).all() and a.threshold == c.threshold
+
+
+def test_decisions_against_brute_force(spark, docs_of):
+    """Threshold and decisions, with the folds, the F1 and the margins by plain loops."""
+    from pyspark.sql import functions as F
+
+    rows, labels = corpus(160)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    held = {r[0] for r in table.where(F.pmod(F.xxhash64("doc_id"), F.lit(toxicity.FOLDS)) == 0).collect()}
+    truth = {i: bool(t) for i, _, t in labels}
+    prior = np.log(sum(truth.values()) / (len(truth) - sum(truth.values())))
+
+    def margin(word, text):
+        got = [word(w) for w in text.lower().split()]
+        n = sum(len(w) + 1 for w in text.split())
+        return (sum(t for t, _ in got) - sum(o for _, o in got) + prior) / n
+
+    trial = brute_model([r for r in rows if r[0] not in held], labels, 4)
+    x = {i: round(margin(trial, t), 4) for i, t in rows if i in held}
+    cuts = sorted(set(x.values()))
+    f1 = [2 * sum(truth[i] and x[i] >= c for i in x) / (sum(x[i] >= c for i in x) + sum(truth[i] for i in x)) for c in cuts]
+    best = f1.index(max(f1))
+    threshold = (cuts[best - 1] + cuts[best]) / 2 if best else cuts[0]
+    model = toxicity.train(docs_of(rows), table)
+    assert abs(model.threshold - threshold) < 2e-4 and np.isclose(model.prior, prior)
+    full = brute_model(rows, labels, 4)
+    more = corpus(60, seed=8)[0]
+    got = {r["doc_id"]: r["_toxic"] for r in toxicity.classify(docs_of(more), model).collect()}
+    for i, t in more:
+        m = margin(full, t)
+        if abs(m - model.threshold) > 1e-3:
+            assert got[i] == (m > model.threshold)
 
 
 def test_large_model_keeps_its_order_and_scores(spark, docs_of):
