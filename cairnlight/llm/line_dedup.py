@@ -27,6 +27,8 @@ from .scratch import fresh, stored
 
 HASHES = 4
 SEGMENT_BITS = 1 << 20
+FLUSH_HASHES = 1 << 22
+SALTS = 256
 
 
 def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -41,12 +43,10 @@ def _offsets(data: bytes) -> np.ndarray:
 
 
 def _partial_filters(bits: int):
-    def run(batches):
-        parts = [b.column(0).flatten().to_numpy(zero_copy_only=False) for b in batches]
-        hashes = np.concatenate(parts) if parts else np.empty(0, np.int64)
-        if not len(hashes):
-            return
-        found, counts = np.unique(hashes, return_counts=True)
+    """Filters of a task's hashes, of FLUSH_HASHES or a batch more at a time."""
+
+    def packed(parts):
+        found, counts = np.unique(np.concatenate(parts), return_counts=True)
         once = np.unique(positions(found, bits))
         twice = np.unique(positions(found[counts > 1], bits))
         size = min(bits, SEGMENT_BITS)
@@ -59,6 +59,17 @@ def _partial_filters(bits: int):
             pack = [zlib.compress(x.astype(np.uint32).tobytes(), 1) for x in (a, b)]
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array(pack[:1], pa.binary()), pa.array(pack[1:], pa.binary())], ["segment", "once", "twice"])
 
+    def run(batches):
+        parts, held = [], 0
+        for batch in batches:
+            parts.append(batch.column(0).flatten().to_numpy(zero_copy_only=False))
+            held += len(parts[-1])
+            if held >= FLUSH_HASHES:
+                yield from packed(parts)
+                parts, held = [], 0
+        if held:
+            yield from packed(parts)
+
     return run
 
 
@@ -110,7 +121,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that repeat an id and text count as further copies: one of them keeps its
     first occurrences, the others lose them. Rows with one id and different
     texts are ordered by a hash of the text. An empty table gives an empty one.
-    Any other columns, of whatever name, pass through.
+    Any other columns, of whatever name and type, pass through; of copies the
+    one with the least other columns counts as first, maps and variants apart.
     """
     spark = docs.sparkSession
     filled = spark.sparkContext.broadcast(twice_seen_filter(docs, text_col, bits_per_line, max_filter_bytes))
@@ -132,31 +144,60 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         offsets = np.searchsorted(at, starts).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array((at - starts[owner]).astype(np.int32)))
 
-    doc, text = F.col(id_col), F.col(text_col)
+    doc, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     suspects = suspects.asNondeterministic()  # else a pushed filter evaluates it twice
+    marks, key, copy, later, every, copies, id2, hash2, salt = fresh(docs, "marks", "text_hash", "copy", "later", "every", "copies", "id2", "hash2", "salt")
+    marked = docs.withColumn(marks, suspects(_line_hashes(text)))
     where = F.struct(doc.isNull().alias("n"), doc.alias("d"), F.xxhash64(text).alias("t"), F.col("i").alias("i"))
     found = (
-        docs.where(text.isNotNull())
-        .select(doc.alias(id_col), text.alias(text_col), suspects(_line_hashes(text)).alias("s"))
+        docs.select(doc.alias(id_col), text.alias(text_col), suspects(_line_hashes(text)).alias("s"))
         .where(F.size("s") > 0)
         .select(id_col, text_col, F.split(text, "\n", -1).alias("l"), F.explode("s").alias("i"))
         .select(F.get("l", F.col("i")).alias("line"), where.alias("w"))
     )
-    found = stored(found, "suspected_lines")
-    first = found.groupBy("line").agg(F.min("w").alias("f"), F.count("*").alias("c")).where("c > 1").select(F.col("line").alias("line2"), "f")
-    repeats = found.join(first, F.col("line") == F.col("line2")).select("w", (F.col("w") == F.col("f")).alias("is_first"))
-    key, copy, later, every, id2, hash2 = fresh(docs, "text_hash", "copy", "later", "every", "id2", "hash2")
-    gone = repeats.groupBy(F.col("w.d").alias(id2), F.col("w.t").alias(hash2)).agg(
-        F.collect_set(F.when(~F.col("is_first"), F.col("w.i"))).alias(later), F.collect_set("w.i").alias(every)
-    )
-    joined = docs.withColumn(key, F.xxhash64(text)).join(gone, doc.eqNullSafe(F.col(id2)) & (F.col(key) == F.col(hash2)), "left")
-    rest = [F.col(f"`{c}`") for c, t in docs.dtypes if c not in (id_col, text_col) and not t.startswith(("map", "variant"))]
-    numbered = joined.withColumn(copy, F.row_number().over(Window.partitionBy(doc, key).orderBy(*(rest or [F.lit(0)]))))
+    gone = stored(_losses(stored(found, "suspected_lines")), "lost_lines")
+    gone = gone.select(*[F.col(a).alias(b) for a, b in (("d", id2), ("t", hash2), ("later", later), ("every", every), ("copies", copies))])
+    moved = marked.where(F.size(marks) > 0).drop(marks).withColumn(key, F.xxhash64(text))
+    joined = moved.join(gone, doc.eqNullSafe(F.col(id2)) & (F.col(key) == F.col(hash2)), "left").drop(id2, hash2)
+    several = F.coalesce(F.col(copies) > 1, F.lit(False))
+    numbered = joined.withColumn(copy, F.lit(1))
+    if not gone.where(F.col(copies) > 1).isEmpty():
+        rest = [F.col(f"`{c}`") for c, t in docs.dtypes if c not in (id_col, text_col) and "map<" not in t and "variant" not in t]
+        # copies are first ranked within a salt, so that none of the tasks gets them all
+        repeated = stored(joined.where(several).withColumn(salt, F.floor(F.rand(7) * SALTS)), "repeated_rows")
+        ranked = repeated.withColumn(copy, F.row_number().over(Window.partitionBy(doc, key, salt).orderBy(*rest, F.lit(0))))
+        leaders = ranked.where(F.col(copy) == 1).withColumn(copy, F.row_number().over(Window.partitionBy(doc, key).orderBy(*rest, salt)))
+        numbered = numbered.where(~several).unionByName(leaders.unionByName(ranked.where(F.col(copy) > 1)).drop(salt))
     drop = F.when(F.col(copy) == 1, F.col(later)).otherwise(F.col(every))
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(drop, i)), "\n")
-    short = F.col(every).isNotNull() & text.isNotNull() & (F.size(drop) > 0)
-    out = numbered.select(
-        *[(F.when(short, kept).otherwise(text)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
-        *([F.when(short, F.size(drop)).otherwise(0).alias(removed_col)] if removed_col else []),
+    lines = F.split(text, "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)  # by hashing, so long texts take linear time
+    kept = F.get(F.transform(F.array(F.struct(lines.alias("l"), left.alias("k"))), lambda s: F.array_join(F.transform(s["k"], lambda i: F.get(s["l"], i)), "\n")), F.lit(0))
+    short = F.col(every).isNotNull() & (F.size(drop) > 0)
+
+    def columns(new_text, removed):
+        return [new_text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns] + ([removed.cast("int").alias(removed_col)] if removed_col else [])
+
+    changed = numbered.select(*columns(F.when(short, kept).otherwise(text), F.when(short, F.size(drop)).otherwise(0)))
+    return marked.where(F.size(marks) == 0).select(*columns(text, F.lit(0))).unionAll(changed)
+
+
+def _losses(found: DataFrame) -> DataFrame:
+    """(d, t, later, every, copies) of each document with repeated lines.
+
+    ``found`` has (line, w), with w the place. ``every`` lists the document's
+    repeated lines, ``later`` those of them that occur earlier elsewhere;
+    ``copies`` is the number of its equal rows.
+    """
+    keys = [F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(17), F.col("line")).alias("k2")]
+    lines = stored(found.groupBy("line").agg(F.min("w").alias("f"), F.count("*").alias("c")).select(*keys, "f", "c"), "lines")
+    if lines.groupBy("k1", "k2").count().where("count > 1").isEmpty():
+        first = lines.where("c > 1").select(F.col("k1").alias("a"), F.col("k2").alias("b"), "f")
+        repeats = found.select(*keys, "w").join(first, (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b")))
+    else:
+        first = found.groupBy("line").agg(F.min("w").alias("f"), F.count("*").alias("c")).where("c > 1")
+        repeats = found.join(first.select(F.col("line").alias("same"), "f"), F.col("line") == F.col("same"))
+    repeats = repeats.select("w", (F.col("w") == F.col("f")).alias("is_first"))
+    sets = repeats.groupBy(F.col("w.d").alias("d"), F.col("w.t").alias("t")).agg(
+        F.collect_set(F.when(~F.col("is_first"), F.col("w.i"))).alias("later"), F.collect_set("w.i").alias("every"), F.count("*").alias("n")
     )
-    return out
+    return sets.select("d", "t", "later", "every", F.floor(F.col("n") / F.size("every")).alias("copies"))
