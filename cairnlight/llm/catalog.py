@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import audio, license_scan, line_dedup, mixing, records, scratch, sentencepieces, simhash, topk, toxicity, warc
 
@@ -50,7 +51,8 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return mixing.mix(docs).withColumn("lang", F.col("first")["lang"]).drop("first")
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,29 +95,35 @@ FROM seen GROUP BY doc_id""",
     "op6_source_mixing": r"""
 WITH d AS (
   SELECT coalesce('=' || source, 'null') AS src, doc_id, lang,
-         list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\r\f\x0B]+'), lambda w: w <> '') AS w
-  FROM documents),
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(text)) AS key,
+         string_split(replace(text, chr(10), ' ' || chr(10)), ' ') AS w
+  FROM documents WHERE regexp_matches(text, '[^ \t\n\r\f\x0B]')),
 e AS (
-  SELECT *, len(w) AS n, CAST(coalesce(sum(len(w)) OVER (
-           PARTITION BY src ORDER BY doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS o
-  FROM d WHERE len(w) > 0),
+  SELECT *, len(w) + 1 AS n, CAST(coalesce(sum(len(w) + 1) OVER (
+           PARTITION BY src ORDER BY key, len(w) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS o
+  FROM d),
 p AS (SELECT src, doc_id, lang, w, o, n, unnest(range(o // 512, (o + n - 1) // 512 + 1)) AS block FROM e),
 b AS (
   SELECT src, block,
-         string_agg(array_to_string(w[greatest(block * 512 - o, 0) + 1 : least((block + 1) * 512 - o, n)], ' '), ' ' ORDER BY o) AS text,
+         string_agg(replace(array_to_string(w[greatest(block * 512 - o, 0) + 1 : least((block + 1) * 512 - o, n)], ' '), ' ' || chr(10), chr(10))
+                    || CASE WHEN (block + 1) * 512 - o >= n THEN chr(10) || chr(10) ELSE '' END, '' ORDER BY o) AS text,
          CAST(sum(least((block + 1) * 512 - o, n) - greatest(block * 512 - o, 0)) AS BIGINT) AS n_tokens,
-         arg_min(doc_id, o) AS doc_id, arg_min(lang, o) AS lang
+         list(doc_id ORDER BY o) AS doc_ids, arg_min(lang, o) AS lang
   FROM p GROUP BY src, block),
 s AS (
   SELECT src, CAST(ceil(sum(n) / 512) AS BIGINT) AS size, greatest(1, CAST(floor(sqrt(sum(n))) AS BIGINT)) AS weight FROM e GROUP BY src),
 c AS (SELECT *, CAST(sum(weight) OVER (ORDER BY src) AS BIGINT) AS hi FROM s),
 u AS (
-  SELECT i AS slot, i // 256 AS shard,
+  SELECT i // 256 AS shard,
          CAST('0x' || substr(md5('17|draw|' || i), 1, 15) AS BIGINT) % (SELECT CAST(sum(weight) AS BIGINT) FROM c) AS u
   FROM range((SELECT CAST(sum(size) AS BIGINT) FROM c)) t(i)),
+k AS (SELECT shard, src, size, count(*) AS n FROM u JOIN c ON u.u >= c.hi - c.weight AND u.u < c.hi GROUP BY ALL),
+r AS (SELECT *, CAST(sum(n) OVER (PARTITION BY src ORDER BY shard) AS BIGINT) - n AS base FROM k),
+j AS (SELECT shard, src, size, base, unnest(range(n)) AS j FROM r),
 a AS (
-  SELECT slot, shard, src, size, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS g
-  FROM u JOIN c ON u.u >= c.hi - c.weight AND u.u < c.hi),
+  SELECT src, size, base + j AS g, shard, shard * 256 + row_number() OVER (PARTITION BY shard
+           ORDER BY CAST('0x' || substr(md5('17|place|' || shard || '|' || src || '|' || j), 1, 15) AS BIGINT), src, j) - 1 AS slot
+  FROM j),
 f AS (SELECT *, g // size AS epoch FROM a),
 m AS (
   SELECT *, list_reduce(range(1, 25), lambda x, r:
@@ -123,7 +131,7 @@ m AS (
     THEN (CAST('0x' || substr(md5('17|' || src || '|' || epoch || '|' || r), 1, 15) AS BIGINT) % size - x + size) % size ELSE x END, g % size) AS block
   FROM f)
 SELECT m.shard, m.slot, CASE WHEN m.src <> 'null' THEN substr(m.src, 2) END AS source, m.epoch, m.block,
-       b.n_tokens, b.doc_id, b.lang, b.text
+       b.n_tokens, b.doc_ids[1] AS doc_id, b.doc_ids, b.lang, b.text
 FROM m JOIN b ON m.src = b.src AND m.block = b.block""",
     "op9_exact_topk": """
 WITH s AS (

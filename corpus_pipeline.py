@@ -38,11 +38,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of the sources in the target mixture; a row is an output slot.
 
-    A block goes by the id and language of its first document.
+    A block's text and length are its own, all other columns those of its first
+    document.
     """
     mixed = mixing.mix(docs)
-    made = {"doc_id": F.col("doc_id"), "text": F.col("text"), "lang": F.col("lang"), "source": F.col("source"), "n_chars": F.char_length("text").cast("long")}
-    return mixed.select(*[made[c].alias(c) if c in made else F.lit(None).cast(t).alias(c) for c, t in docs.dtypes])
+    made = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return mixed.select(*[(made[c] if c in made else F.col("first")[c]).alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from cairnlight.llm.catalog import TOKENIZER
 
 from .conftest import SCHEMA
 from .test_line_dedup import brute as brute_lines
+from .test_mixing import joined, mixing_key, tokens
 
 LABELS = "doc_id long, quality int, toxic int"
 PARTS = ["ba", "do", "ke", "li", "mu", "ra", "so", "ti", "vo", "ze"]
@@ -61,26 +62,32 @@ def brute_mix(docs, block, shard, seed=17):
     """Slots of (doc_id, text, source) rows, by plain loops."""
     h = lambda *p: int(hashlib.md5("|".join(map(str, p)).encode()).hexdigest()[:15], 16)
     streams = defaultdict(list)
-    for i, text, source in sorted(docs, key=lambda d: d[0]):
-        streams[f"={source}"] += [(w, i) for w in (text or "").split()]
-    streams = {s: w for s, w in sorted(streams.items()) if w}
+    for i, text, source in sorted(docs, key=lambda d: mixing_key(*d[:2])):
+        if text and text.strip():
+            streams[f"={source}"] += [(w, i) for w in [*tokens(text), None]]
+    streams = dict(sorted(streams.items()))
     weight = {s: max(1, math.isqrt(len(w))) for s, w in streams.items()}
     size = {s: -(-len(w) // block) for s, w in streams.items()}
-    used, out = Counter(), []
-    for slot in range(sum(size.values())):
-        u = h(seed, "draw", slot) % sum(weight.values())
-        for s in streams:
-            if u < weight[s]:
-                break
-            u -= weight[s]
-        epoch, x = divmod(used[s], size[s])
-        used[s] += 1
-        for r in range(1, mixing.ROUNDS + 1):
-            other = (h(seed, s, epoch, r) % size[s] - x) % size[s]
-            if h(seed, s, epoch, r, max(x, other)) % 2:
-                x = other
-        words = streams[s][x * block : (x + 1) * block]
-        out.append((words[0][1], " ".join(w for w, _ in words), s[1:]))
+    count, used, out = sum(size.values()), Counter(), []
+    for shard_no in range(-(-count // shard)):
+        drawn = Counter()
+        for slot in range(shard_no * shard, min(count, (shard_no + 1) * shard)):
+            u = h(seed, "draw", slot) % sum(weight.values())
+            for s in streams:
+                if u < weight[s]:
+                    break
+                u -= weight[s]
+            drawn[s] += 1
+        for s, c in drawn.items():
+            for _ in range(c):
+                epoch, x = divmod(used[s], size[s])
+                used[s] += 1
+                for r in range(1, mixing.ROUNDS + 1):
+                    other = (h(seed, s, epoch, r) % size[s] - x) % size[s]
+                    if h(seed, s, epoch, r, max(x, other)) % 2:
+                        x = other
+                words = streams[s][x * block : (x + 1) * block]
+                out.append((words[0][1], joined(w for w, _ in words), s[1:]))
     return out
 
 
