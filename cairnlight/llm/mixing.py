@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scratch import stored
+
 BLOCK = 512
 SHARD = 256
 CHUNK_ROWS = 4096
@@ -97,7 +99,7 @@ def blocks(docs: DataFrame, block: int = BLOCK, *, id_col: str = "doc_id", text_
     bits = max(6, (max(1, docs.count()) // CHUNK_ROWS).bit_length())
     chunk = F.shiftright(F.conv(F.substring("key", 1, 15), 16, 10).cast("long"), 60 - bits)
     rows = rows.withColumn("chunk", chunk)
-    chunks = rows.groupBy("src", "chunk").agg(F.sum("n").alias("m"))
+    chunks = stored(rows.groupBy("src", "chunk").agg(F.sum("n").alias("m")), "chunks")
     bases = running_total(chunks, "src", "chunk", "m").select(F.col("src").alias("src2"), F.col("chunk").alias("chunk2"), "base")
     totals = chunks.groupBy("src").agg(F.sum("m").alias("tokens"))
     inside = Window.partitionBy("src", "chunk").orderBy("key", "n").rowsBetween(Window.unboundedPreceding, -1)
