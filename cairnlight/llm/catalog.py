@@ -56,8 +56,9 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest by inner product of every vector."""
-    return topk.top_k(table(spark, sf_dir, "embeddings"), k=10)
+    """The ten best of all vectors by inner product, for every id divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, k=10, queries=vectors.where("vec_id % 50 = 0"))
 
 
 def op10_telephony_pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +138,7 @@ FROM m JOIN b ON m.src = b.src AND m.block = b.block""",
 WITH s AS (
   SELECT q.vec_id AS query_id, x.vec_id AS neighbor_id,
          round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])), 9) AS score
-  FROM embeddings q JOIN embeddings x ON q.vec_id <> x.vec_id),
+  FROM embeddings q JOIN embeddings x ON q.vec_id <> x.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbor_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, neighbor_id, score FROM r WHERE rank <= 10""",
 }

@@ -10,6 +10,10 @@ the quantisation error of it, again by slices, are the boundary; they alone are
 scored exactly. The bound on the error holds for every row, so no row of the
 true top k is missed.
 
+A query is first scored exactly against SAMPLE_ROWS rows. The k-th best there is
+a bound that all blocks share: no row below it can be among the best, so a
+block returns and verifies what may beat it and often nothing.
+
 Every (block of queries, block of rows) is one task; blocks of rows are read
 from the shared folder. The local lists are merged by query. With all rows as
 queries the work is quadratic by nature; pass fewer ``queries`` to avoid that.
@@ -32,6 +36,7 @@ WEIGHT_BITS = 4
 BLOCK_ROWS = 1 << 16
 QUERY_ROWS = 1 << 10
 DIGITS = 9
+SAMPLE_ROWS = 2048
 
 
 def sliced(levels: np.ndarray, bits: int) -> np.ndarray:
@@ -106,7 +111,7 @@ class Block:
     """One block of rows, for searching."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray, slices: np.ndarray, low: np.ndarray, step: np.ndarray):
-        self.ids, self.values, self.slices, self.step = ids, values, slices, step
+        self.ids, self.values, self.slices, self.low, self.step = ids, values, slices, low, step
         self.complement = ~slices
         rows, _ = values.shape
         marks = np.zeros(slices.shape[2] * 64, np.uint8)
@@ -118,13 +123,17 @@ class Block:
         self.off = float(np.sqrt((((values - low) / step - levels) ** 2).sum(axis=1).max()))
         self.spread = float(np.sqrt(((levels - self.middle) ** 2).sum(axis=1).max()))
 
-    def search(self, query: np.ndarray, k: int, own: int, weight_bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and rounded exact scores of the best k rows; ties by id."""
+    def search(self, query: np.ndarray, k: int, own: int, weight_bits: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and rounded exact scores of the best k rows; ties by id.
+
+        Rows that score under ``least`` may be left out.
+        """
         exact = query * self.step
         peak = np.abs(exact).max()
         want = k + 1  # its own row may be among them
         if peak > 0 and len(self.ids) > want:
-            exact = exact * (((1 << weight_bits) - 1) / peak)
+            factor = ((1 << weight_bits) - 1) / peak
+            exact = exact * factor
             weight = np.rint(exact).astype(np.int64)
             columns: list[list[np.ndarray]] = [[] for _ in range(weight_bits + self.slices.shape[1] - 1)]
             for j in range(weight_bits):
@@ -136,12 +145,17 @@ class Block:
             slices = add_slices(columns)
             error = np.linalg.norm(exact - weight) * self.spread + np.linalg.norm(exact) * self.off
             bound = kth_sum(slices, self.valid, want) - int(np.ceil(2 * error * (1 + 1e-9) + 1e-6))
+            if least > -np.inf:
+                top = (1 << self.slices.shape[1]) - 1
+                level = factor * (least - query @ self.low) - self.middle * (exact - weight).sum() + top * np.abs(weight[weight < 0]).sum()
+                bound = max(bound, int(np.floor(level - error * (1 + 1e-9) - 1e-6 * (1 + abs(level)))))
             marks = at_least(slices, self.valid, bound)
             rows = np.flatnonzero(np.unpackbits(marks.view(np.uint8), bitorder="little"))
         else:
             rows = np.arange(len(self.ids))
         rows = rows[self.ids[rows] != own]
         score = np.round(self.values[rows].astype(np.float64) @ query, DIGITS)
+        rows, score = rows[score >= least], score[score >= least]
         by = np.lexsort((self.ids[rows], -score))[:k]
         return self.ids[rows][by], score[by]
 
@@ -198,6 +212,17 @@ def top_k(vectors: DataFrame, *, k: int = 10, queries: DataFrame | None = None,
     path = new_path(spark, "slices")
     count, low, step = _index(rows, dim, block_rows, path)
     groups = max(1, -(-asked.count() // query_rows))
+    some = rows.orderBy(F.xxhash64("id")).limit(SAMPLE_ROWS).toArrow()
+    sample = spark.sparkContext.broadcast((some["id"].to_numpy(), some["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)))
+
+    def bounds(q: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The k-th best score of each query in the sample, a little lower."""
+        ids, values = sample.value
+        score = q @ values.T.astype(np.float64)
+        score[ids[None] == own[:, None]] = -np.inf
+        if len(ids) < k:
+            return np.full(len(q), -np.inf)
+        return np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k] - 10.0**-DIGITS * (1 + np.abs(q).sum(axis=1))
 
     def run(batches):
         files, root = fs.FileSystem.from_uri(path)
@@ -205,6 +230,7 @@ def top_k(vectors: DataFrame, *, k: int = 10, queries: DataFrame | None = None,
         for batch in batches:
             asked_ids, wanted = batch.column(0).to_pylist(), batch.column(2).to_numpy()
             q = batch.column(1).flatten().to_numpy().reshape(-1, dim).astype(np.float64)
+            least = bounds(q, np.array(asked_ids))
             found: list[list[np.ndarray]] = [[], [], []]
             for block in np.unique(wanted):
                 if block not in held:
@@ -216,7 +242,7 @@ def top_k(vectors: DataFrame, *, k: int = 10, queries: DataFrame | None = None,
                     ids = np.frombuffer(cells[0], np.int64)
                     held[block] = Block(ids, np.frombuffer(cells[1], np.float32).reshape(-1, dim), np.frombuffer(cells[2], np.uint64).reshape(dim, BITS, -1), low, step)
                 for at in np.flatnonzero(wanted == block):
-                    ids, score = held[block].search(q[at], k, asked_ids[at], WEIGHT_BITS)
+                    ids, score = held[block].search(q[at], k, asked_ids[at], WEIGHT_BITS, least[at])
                     for part, x in zip(found, (np.full(len(ids), asked_ids[at]), ids, score)):
                         part.append(x)
             if found[0]:

@@ -30,6 +30,19 @@ def test_against_all_pairs(spark):
         assert np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-8)
 
 
+def test_shared_bound_keeps_all_results(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = (rng.normal(size=(900, 16)) + rng.normal(size=16) * 3).astype(np.float32)
+    v[100:140] = v[99]
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    asked = df.where("vec_id % 10 = 0")
+    want = [w for w in sorted(brute(list(range(900)), v, 7)) if w[0] % 10 == 0]
+    for size in (3, 40, 500, 5000):
+        monkeypatch.setattr(topk, "SAMPLE_ROWS", size)
+        got = run(df, k=7, queries=asked, block_rows=128)
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+
+
 def test_slices_add_and_select():
     rng = np.random.default_rng(4)
     levels = rng.integers(0, 64, (130, 9)).astype(np.uint16)
