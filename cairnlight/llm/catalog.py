@@ -52,7 +52,8 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return mixing.mix(docs).withColumn("lang", F.col("first")["lang"]).drop("first")
+    ids = F.array_join(F.col("doc_ids").cast("array<string>"), ",")
+    return mixing.mix(docs).withColumns({"lang": F.col("first")["lang"], "doc_ids": ids}).drop("first")
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +133,7 @@ m AS (
     THEN (CAST('0x' || substr(md5('17|' || src || '|' || epoch || '|' || r), 1, 15) AS BIGINT) % size - x + size) % size ELSE x END, g % size) AS block
   FROM f)
 SELECT m.shard, m.slot, CASE WHEN m.src <> 'null' THEN substr(m.src, 2) END AS source, m.epoch, m.block,
-       b.n_tokens, b.doc_ids[1] AS doc_id, b.doc_ids, b.lang, b.text
+       b.n_tokens, b.doc_ids[1] AS doc_id, array_to_string(b.doc_ids, ',') AS doc_ids, b.lang, b.text
 FROM m JOIN b ON m.src = b.src AND m.block = b.block""",
     "op9_exact_topk": """
 WITH s AS (

@@ -16,7 +16,7 @@ def plain(v):
 def test_names():
     numbers = [int(n.split("_")[0][2:]) for n in catalog.QUERIES]
     assert sorted(numbers) == list(range(1, 11))
-    assert entry.LLM and entry.PIPELINE and {"pipeline", *catalog.QUERIES} <= set(entry.queries())
+    assert entry.llm and entry.corpus_pipeline and {"pipeline", *catalog.QUERIES} <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
