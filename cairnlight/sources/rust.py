@@ -17,12 +17,14 @@ KEYWORDS = frozenset(
 )
 #: One alternative a kind of token; comments, white space and anything unknown are tokens too.
 _TOKEN = re.compile(
-    r"""\s+|//[^\n]*|/\*|b?r\#*"|b?"(?:\\(?s:.)|[^"\\])*"|b?'(?:\\(?:u\{[^}]*\}|x..|.)|[^'\\\n])'|'[A-Za-z_]\w*
+    r"""\s+|//[^\n]*|/\*(?:(?!/\*|\*/)(?s:.))*\*/|/\*|b?r"[^"]*"|b?r\#"(?s:.*?)"\#|b?r\#\#"(?s:.*?)"\#\#|b?r\#*"|b?"(?:\\(?s:.)|[^"\\])*"|b?'(?:\\(?:u\{[^}]*\}|x..|.)|[^'\\\n])'|'[A-Za-z_]\w*
     |\d(?:[\w]|\.(?=\d))*(?:[eE][+-]?\d+)?|(?:r\#)?[^\W\d]\w*
     |\.\.=|\.\.\.|<<=|>>=|::|->|=>|==|!=|<=|>=|&&|\|\||\+=|-=|\*=|/=|%=|\^=|&=|\|=|\.\.|<<|[-+*/%^!&|=<>@.,;:\#$?~{}()\[\]]|(?s:.)""",
     re.X,
 )
 _OPERATOR = re.compile(r"\.\.=|\.\.\.|<<=|>>=|::|->|=>|==|!=|<=|>=|&&|\|\||\+=|-=|\*=|/=|%=|\^=|&=|\|=|\.\.|<<|[-+*/%^!&|=<>@.,;:#$?~{}()\[\]]")
+_BLOCK_DOC, _RAW = re.compile(r"/\*\*[^*/]|/\*!"), re.compile(r'b?r#*"')
+_NAME = re.compile(r"[^\W\d]\w*")
 _COMMENT = re.compile(r"/\*|\*/")
 BINARY = frozenset("+ - * / % ^ & | << < > == != <= >= += -= *= /= %= ^= &= |= <<= >>= && ||".split())
 OPEN, BRACKETS = {"(": ")", "[": "]", "{": "}"}, frozenset("()[]{}")
@@ -39,6 +41,8 @@ class ParseError(ValueError):
     pass
 
 
+#: Short texts are known by heart, up to this many in a process.
+KNOWN_TEXTS = 200_000
 KEPT = frozenset(("doc", "str", "char", "life", "num", "id", "op"))
 
 
@@ -46,44 +50,56 @@ class _Kinds(dict):
     """The kind of each text that a token can have, found once."""
 
     def __missing__(self, text: str) -> str:
-        self[text] = kind = self.of(text)
+        kind = self.of(text)
+        if len(text) <= 24 and len(self) < KNOWN_TEXTS:
+            self[text] = kind
         return kind
 
     @staticmethod
     def of(text: str) -> str:
-        first = text[0]
+        first, last = text[0], text[-1]
         if first.isspace():
             return "space"
-        if text.startswith("//"):
-            return "doc" if text.startswith("///") and not text.startswith("////") or text.startswith("//!") else "line"
-        if text == "/*":
-            return "block"
-        if re.match(r'b?r#*"$', text):
-            return "raw"
-        if first == '"' or text.startswith('b"'):
-            return "str" if len(text) > 1 else "bad"
-        if first == "'" or text.startswith("b'"):
-            return "char" if len(text) > 1 and text.endswith("'") else "life" if len(text) > 1 else "bad"
+        if first == "/":
+            if text.startswith("//"):
+                return "doc" if text.startswith("///") and not text.startswith("////") or text.startswith("//!") else "line"
+            return "op" if len(text) == 1 or text == "/=" else "block" if len(text) == 2 else "doc" if _BLOCK_DOC.match(text) else "space"
+        if last == '"':
+            if first == '"' or text.startswith('b"'):
+                return "str" if len(text) > 1 else "bad"
+            return "raw" if _RAW.fullmatch(text) else "str"
+        if last == "#" and len(text) > 1:
+            return "str"
+        if last == "'":
+            return "char" if len(text) > 1 else "bad"
+        if first == "'":
+            return "life"
         if first.isdigit():
             return "num"
-        if re.match(r"(?:r#)?[^\W\d]\w*$", text):
+        if first == "_" or first.isalpha():
             return "id"
-        return "op" if _OPERATOR.fullmatch(text) else "bad"
+        return "op" if _OPERATOR.fullmatch(text) else "id" if _NAME.fullmatch(text) else "bad"
 
 
 class _Counts(dict):
     def __missing__(self, text: str) -> int:
-        self[text] = n = text.count("\n")
+        n = text.count("\n")
+        if len(text) <= 24 and len(self) < KNOWN_TEXTS:
+            self[text] = n
         return n
 
 
+_KINDS, _COUNTS = _Kinds(), _Counts()
+
+
 def tokens(source: str) -> tuple[list[str], list[str], list[int]]:
     """Kinds, texts and lines of the tokens, without comments and white space.
 
-    Sources are cut by the regular expression alone; block comments and raw
-    strings, which it can't follow, are then read from where they begin.
+    Sources are cut by the regular expression alone; nested block comments and
+    raw strings with many marks, which it can't follow, are then read from where
+    they begin.
     """
-    kinds, lines = _Kinds(), _Counts()
+    kinds, lines = _KINDS, _COUNTS
     texts: list[str] = []
     found: list[str] = []
     at = 0
@@ -114,11 +130,11 @@ def tokens(source: str) -> tuple[list[str], list[str], list[int]]:
                     raise ParseError(f"line {line}: comment isn't closed")
                 depth += 1 if n.group() == "/*" else -1
                 end = n.end()
-            found.append("doc" if re.match(r"/\*\*[^*/]|/\*!", source[begin:end]) else "space")
+            found.append("doc" if _BLOCK_DOC.match(source, begin, end) else "space")
         texts.append(source[begin:end])
         at = end
     ends = list(accumulate(map(lines.__getitem__, texts), initial=1))
-    if "bad" in kinds.values():
+    if "bad" in found:
         for k, t, n in zip(found, texts, ends):
             if k == "bad":
                 raise ParseError(f"line {n}: unexpected {t!r}")
