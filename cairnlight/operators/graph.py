@@ -1,19 +1,20 @@
 """Graphs of elements: building edges, paths, levels, cycles, components.
 
 Edges have src, dst and any of kind, weight, count. Reverse questions swap the
-two columns (``reversed_edges``). Path questions use recursive SQL; reachability
-and distance go level by level over distinct vertices, so dense graphs don't
-explode, with a checkpoint for each level.
+two columns (``reversed_edges``). Paths grow by one edge a round; reachability and
+distance go level by level over distinct vertices, so dense graphs don't
+explode; trees double their known ancestors each round. Every round ends in a
+checkpoint, so nothing is bound by Spark's limits on recursive queries.
 """
 
 from __future__ import annotations
 
 import itertools
 import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scores, text
 
@@ -76,43 +77,49 @@ def paths(edges: DataFrame, starts: DataFrame, max_depth: int | None, keep: Colu
     """(start, node, depth, path) of all simple paths from ``starts`` (node).
 
     Depth counts edges, from 0 at the start to ``max_depth``, or to the end of
-    all paths if that is None; Spark's limits on recursion then raise an error.
-    ``keep`` is a condition on the edges followed; the start itself need not
-    meet it.
+    all paths if that is None. ``keep`` is a condition on the edges followed;
+    the start itself need not meet it.
     """
-    spark, tag = edges.sparkSession, uuid.uuid4().hex
-    within = "" if max_depth is None else f"w.depth < {int(max_depth)} AND "
-    used = (edges if keep is None else edges.where(keep)).select("src", "dst").distinct()
-    used.createOrReplaceTempView(f"e_{tag}")
-    starts.select("node").distinct().createOrReplaceTempView(f"s_{tag}")
-    out = spark.sql(f"""
-        WITH RECURSIVE walk(start, node, depth, path) AS (
-          SELECT node, node, 0, array(node) FROM s_{tag}
-          UNION ALL
-          SELECT w.start, e.dst, w.depth + 1, array_append(w.path, e.dst)
-          FROM walk w JOIN e_{tag} e ON e.src = w.node
-          WHERE {within}NOT array_contains(w.path, e.dst))
-        SELECT * FROM walk""")
+    used = _checkpointed((edges if keep is None else edges.where(keep)).select("src", "dst").distinct())
+    front = _checkpointed(starts.select("node").distinct().select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"), F.array("node").alias("path")))
+    out = front
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
+        step = front.join(used, (F.col("node") == F.col("src")) & ~F.array_contains("path", F.col("dst")))
+        front = _checkpointed(step.select("start", F.col("dst").alias("node"), F.lit(depth).alias("depth"), F.array_append("path", F.col("dst")).alias("path")))
+        if front.isEmpty():
+            break
+        out = out.unionByName(front)
     return out
 
 
-def all_paths(edges: DataFrame, starts: DataFrame, end: Column, max_depth: int) -> DataFrame:
-    """Simple paths from the starts to ``end``, with their number of vertices."""
-    found = paths(edges.where(F.col("src") != end), starts, max_depth)
-    return found.where((F.col("node") == end) & (F.col("depth") > 0)).select("start", "path", F.size("path").alias("length"))
+def all_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_depth: int | None) -> DataFrame:
+    """Simple paths from the starts to ``ends`` (node), with their number of vertices.
+
+    A path stops at the first end that it meets.
+    """
+    goals = _checkpointed(ends.select(F.col("node").alias("goal")).distinct())
+    found = paths(edges.join(goals, F.col("src") == F.col("goal"), "left_anti"), starts, max_depth)
+    return found.where("depth > 0").join(goals, F.col("node") == F.col("goal"), "left_semi").select("start", "path", F.size("path").alias("length"))
+
 
+def hierarchy(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(id, parent, name, depth, path) from all roots down; ``nodes`` is a tree.
 
-def hierarchy(nodes: DataFrame, max_depth: int = 100) -> DataFrame:
-    """(id, parent, name, depth, path) from all roots down; ``nodes`` is a tree."""
-    spark, tag = nodes.sparkSession, uuid.uuid4().hex
-    nodes.select("id", "parent", "name").createOrReplaceTempView(f"n_{tag}")
-    return spark.sql(f"""
-        WITH RECURSIVE h(id, parent, name, depth, path) AS (
-          SELECT id, parent, name, 0, array(name) FROM n_{tag} WHERE parent IS NULL
-          UNION ALL
-          SELECT n.id, n.parent, n.name, h.depth + 1, array_append(h.path, n.name)
-          FROM h JOIN n_{tag} n ON n.parent = h.id WHERE h.depth < {int(max_depth)})
-        SELECT * FROM h""")
+    Each round joins a node's known line of ancestors with that of its topmost
+    one, so the rounds are the logarithm of the depth. Nodes that no root
+    reaches (whose parents are missing or form a ring) are left out.
+    """
+    rows = nodes.select("id", "parent", "name", F.col("parent").alias("top"), F.array("name").alias("path"))
+    done, open_rows = _checkpointed(rows.where("top IS NULL")), _checkpointed(rows.where("top IS NOT NULL"))
+    while not open_rows.isEmpty():
+        above = done.unionByName(open_rows).select(F.col("id").alias("up"), F.col("top").alias("next"), F.col("path").alias("line"))
+        grown = _checkpointed(open_rows.join(above, F.col("top") == F.col("up")).select("id", "parent", "name", F.col("next").alias("top"), F.concat("line", "path").alias("path")))
+        ended = grown.where("top IS NULL")
+        if ended.isEmpty():
+            break
+        done, open_rows = done.unionByName(ended), grown.where("top IS NOT NULL")
+    out = done.select("id", "parent", "name", (F.size("path") - 1).alias("depth"), "path")
+    return out if max_depth is None else out.where(F.col("depth") <= max_depth)
 
 
 def levels(edges: DataFrame, starts: DataFrame, max_depth: int | None, inclusive: bool = True) -> DataFrame:
@@ -140,11 +147,17 @@ def discovered_edges(edges: DataFrame, starts: DataFrame, max_depth: int | None)
     return edges.select("src", "dst").distinct().join(reached, "src").select("src", "dst", "depth")
 
 
-def max_depth(edges: DataFrame, starts: DataFrame, cap: int = 100) -> DataFrame:
-    """The largest number of edges of a walk from the starts, up to ``cap``."""
-    used = _checkpointed(edges.select("src", "dst").distinct())
+def max_depth(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """One row: the largest number of edges of a walk from the starts.
+
+    It is null if a cycle can be reached, as there is no largest then.
+    """
+    reached = levels(edges, starts, None).select(F.col("node").alias("src"))
+    used = _checkpointed(edges.select("src", "dst").distinct().join(reached, "src", "left_semi"))
+    if not _trimmed(used.where("src <> dst")).isEmpty() or not used.where("src = dst").isEmpty():
+        return edges.sparkSession.createDataFrame([(None,)], "max_depth int")
     frontier, depth = _checkpointed(starts.select("node").distinct()), 0
-    while depth < cap:
+    while True:
         frontier = _checkpointed(used.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct())
         if frontier.isEmpty():
             break
@@ -152,30 +165,89 @@ def max_depth(edges: DataFrame, starts: DataFrame, cap: int = 100) -> DataFrame:
     return edges.sparkSession.createDataFrame([(depth,)], "max_depth int")
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, weight: str | None = None, max_rounds: int = 100) -> DataFrame:
+def shortest_paths(edges: DataFrame, starts: DataFrame, weight: str | None = None) -> DataFrame:
     """(node, distance, path, edge_count): least total weight, ties by path.
 
-    Without ``weight`` every edge counts 1. Weights must not be negative.
+    Without ``weight`` every edge counts 1. Weights must not be negative; rounds
+    go on until nothing gets nearer.
     """
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     used = _checkpointed(edges.select("src", "dst", w.alias("w")).groupBy("src", "dst").agg(F.min("w").alias("w")))
+    if not used.where("w < 0").isEmpty():
+        raise ValueError("weights must not be negative")
     best = _checkpointed(starts.select("node", F.lit(0.0).alias("distance"), F.array("node").alias("path")).distinct())
     changed = best
-    for _ in range(max_rounds):
-        step = used.join(changed, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), (F.col("distance") + F.col("w")).alias("distance"), F.array_append("path", F.col("dst")).alias("path"))
+    while not changed.isEmpty():
+        step = used.join(changed, (F.col("src") == F.col("node")) & ~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("node"), (F.col("distance") + F.col("w")).alias("distance"), F.array_append("path", F.col("dst")).alias("path"))
         merged = best.withColumn("old", F.lit(1)).unionByName(step.withColumn("old", F.lit(0)))
         pick = merged.groupBy("node").agg(F.min(F.struct("distance", "path")).alias("m"), F.min(F.when(F.col("old") == 1, F.struct("distance", "path"))).alias("was"))
         pick = _checkpointed(pick)
         best = pick.select("node", "m.*")
         changed = pick.where(F.col("was").isNull() | (F.col("m") < F.col("was"))).select("node", "m.*")
-        if changed.isEmpty():
-            break
     return best.withColumn("edge_count", F.size("path") - 1)
 
 
-def cycles(edges: DataFrame, longest: int = 3) -> DataFrame:
-    """(cycle, length, strength): simple cycles once each, the least vertex first."""
-    e = edges.select("src", "dst").distinct()
+def dfs_order(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
+    """(start, node, depth, position): vertices as a depth-first walk meets them.
+
+    Neighbours are tried in order; the way to a vertex is then the least of its
+    simple paths, and the walk meets vertices in the order of these. Paths are
+    followed to ``max_depth`` edges, inclusive.
+    """
+    least = paths(edges, starts, max_depth).groupBy("start", "node").agg(F.min("path").alias("path"))
+    position = F.row_number().over(Window.partitionBy("start").orderBy("path"))
+    return least.select("start", "node", (F.size("path") - 1).alias("depth"), position.alias("position"))
+
+
+def trace_calls(calls: DataFrame, starts: DataFrame, max_depth: int | None, backward: bool = False) -> DataFrame:
+    """(start, node, depth, path) of the calls out of the starts, or into them."""
+    return paths(reversed_edges(calls.select("src", "dst")) if backward else calls, starts, max_depth).where("depth > 0")
+
+
+def call_chain_analysis(calls: DataFrame, starts: DataFrame, max_depth: int | None) -> DataFrame:
+    """A row for each start: forward and backward paths, recursion, depth, total.
+
+    ``max_depth`` of the result is that of the forward paths, ``total_calls``
+    their number and that of the backward ones.
+    """
+    starts = _checkpointed(starts.select("node").distinct())
+    forward = trace_calls(calls, starts, max_depth).groupBy("start").agg(F.count("*").alias("forward_calls"), F.max("depth").alias("max_depth"))
+    backward = trace_calls(calls, starts, max_depth, True).groupBy("start").agg(F.count("*").alias("backward_calls"))
+    recursive = calls.where("src = dst").groupBy(F.col("src").alias("start")).agg(F.count("*").alias("recursive_calls"))
+    out = starts.select(F.col("node").alias("start")).join(forward, "start", "left").join(backward, "start", "left").join(recursive, "start", "left").fillna(0)
+    return out.withColumn("total_calls", F.col("forward_calls") + F.col("backward_calls"))
+
+
+def checked_ends(edges: DataFrame, elements: DataFrame, id_col: str = "element_id") -> DataFrame:
+    """``edges``, both of whose ends must be elements; one that isn't is an error.
+
+    The error comes when the rows are computed and names the missing end.
+    """
+    ids = elements.select(F.col(id_col).alias("_id"), F.lit(True).alias("_there")).distinct()
+    for end in ("src", "dst"):
+        found = edges.join(ids, F.col(end) == F.col("_id"), "left")
+        message = F.concat(F.lit(f"no element for {end} "), F.coalesce(F.col(end).cast("string"), F.lit("null")))
+        edges = found.withColumn(end, F.when(F.col("_there"), F.col(end)).otherwise(F.raise_error(message).cast(edges.schema[end].dataType))).drop("_id", "_there")
+    return edges
+
+
+def direct_edges(edges: DataFrame, node, incoming: bool = False) -> DataFrame:
+    """The direct edges out of one element, or into it."""
+    return edges.where((F.col("dst" if incoming else "src") == node) & F.col("is_direct"))
+
+
+def cycles(edges: DataFrame, longest: int) -> DataFrame:
+    """(cycle, length, strength): simple cycles once each, the least vertex first.
+
+    Cycles of up to ``longest`` vertices are listed; their number grows without
+    measure with it. Only edges inside a strongly connected component are
+    followed. ``cyclic_components`` tells all vertices on cycles of any length.
+    """
+    e = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    if longest > 3:
+        parts = _checkpointed(cyclic_components(e).select("node", "component"))
+        ends = e.join(parts.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(parts.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
+        e = _checkpointed(ends.where("a = b").select("src", "dst"))
     open_paths = e.select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("path")).where("dst > src")
     out = e.where("src = dst").select(F.array("src").alias("cycle"))
     for length in range(2, longest + 1):
@@ -184,6 +256,7 @@ def cycles(edges: DataFrame, longest: int = 3) -> DataFrame:
         if length < longest:
             grown = open_paths.join(back, (F.col("last") == F.col("s")) & (F.col("d") > F.col("first"))).where(~F.array_contains("path", F.col("d")))
             open_paths = grown.select("first", F.col("d").alias("last"), F.array_append("path", F.col("d")).alias("path"))
+            open_paths = _checkpointed(open_paths) if longest > 3 else open_paths
     return out.withColumns({"length": F.size("cycle"), "strength": 1 / F.size("cycle")})
 
 
@@ -270,5 +343,13 @@ def neighbours(calls: DataFrame, dependencies: DataFrame, types: DataFrame, trav
     raise ValueError(f"no traversal {traversal!r}")
 
 
-def build_stats(spark: SparkSession, calls: DataFrame) -> DataFrame:
-    return calls.agg(F.count("*").alias("chains"), F.count_if("is_recursive").alias("recursive"), F.coalesce(F.max("call_count"), F.lit(0)).alias("most_calls"))
+def build_stats(calls: DataFrame, dependencies: DataFrame, types: DataFrame, functions: DataFrame) -> DataFrame:
+    """One row (as graphs are built): sizes of the three edge tables.
+
+    ``functions`` are the elements that may call; depths are most edges into
+    or out of one vertex's chain and are left to ``max_depth``.
+    """
+    c = calls.agg(F.count("*").alias("call_chains"), F.count_if(F.col("src") == F.col("dst")).alias("recursive_calls"), F.coalesce(F.max("call_count"), F.lit(0)).alias("most_calls"))
+    d = dependencies.agg(F.count("*").alias("dependencies"), F.countDistinct("src").alias("dependent_elements"), F.count_if("is_direct").alias("direct_dependencies"))
+    t = types.agg(F.count("*").alias("type_relationships"), F.count_if(F.col("rel_type") == "implements").alias("implementations"), F.countDistinct("src").alias("related_types"))
+    return functions.agg(F.count("*").alias("functions")).crossJoin(c).crossJoin(d).crossJoin(t)

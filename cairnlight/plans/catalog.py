@@ -11,6 +11,7 @@ from ..functions import scores, text
 from ..operators import graph, metrics, rag, search
 from ..operators import elements as el
 from . import views
+from ..schemas import TRAVERSALS
 from .views import C, E, R, T, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -344,9 +345,63 @@ def q_shortest_path(spark, sf_dir):
 @query(f"WITH RECURSIVE {C}, {START}, t AS (SELECT dst AS goal FROM calls JOIN s ON src = node ORDER BY dst DESC LIMIT 1), {_walk('src>dst', 5)} SELECT array_to_string(path, '>') AS path, CAST(len(path) AS INT) AS length FROM w JOIN t ON node = goal")
 def q_all_paths(spark, sf_dir):
     calls, start = _stored_calls(spark, sf_dir)
-    goal = calls.join(start, F.col("src") == F.col("node")).agg(F.max("dst").alias("goal"))
-    found = graph.paths(calls, start, 5).join(F.broadcast(goal), F.col("node") == F.col("goal"))
-    return found.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), F.size("path").alias("length"))
+    goal = calls.join(start, F.col("src") == F.col("node")).agg(F.max("dst").alias("node"))
+    return graph.all_paths(calls, start, goal, 5).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "length")
+
+
+@query(f"WITH RECURSIVE {C}, {START}, {_walk('src>dst', 10)} SELECT node, depth, array_to_string(path, '>') AS path FROM w WHERE depth > 0")
+def q_call_tree_forward(spark, sf_dir):
+    calls, start = _stored_calls(spark, sf_dir)
+    return graph.trace_calls(calls, start, 10).select("node", "depth", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+@query(f"""WITH RECURSIVE {C}, {START}, {_walk('src>dst', 10)},
+b AS (SELECT node, 0 AS depth, [node] AS path FROM s UNION ALL SELECT c.src, b.depth + 1, list_append(b.path, c.src) FROM b JOIN calls c ON c.dst = b.node WHERE b.depth < 10 AND NOT list_contains(b.path, c.src))
+SELECT (SELECT node FROM s) AS start, (SELECT count(*) FROM w WHERE depth > 0) AS forward_calls, (SELECT count(*) FROM b WHERE depth > 0) AS backward_calls,
+ (SELECT count(*) FROM calls JOIN s ON src = node AND dst = node) AS recursive_calls, (SELECT CAST(coalesce(max(depth), 0) AS INT) FROM w) AS max_depth,
+ (SELECT count(*) FROM w WHERE depth > 0) + (SELECT count(*) FROM b WHERE depth > 0) AS total_calls""")
+def q_call_chain_analysis(spark, sf_dir):
+    calls, start = _stored_calls(spark, sf_dir)
+    return graph.call_chain_analysis(calls, start, 10)
+
+
+@query(f"""WITH RECURSIVE {C}, {START}, {_walk('src>dst', 6)}, m AS (SELECT node, min(path) AS path FROM w GROUP BY node)
+SELECT node, CAST(len(path) - 1 AS INT) AS depth, CAST(row_number() OVER (ORDER BY path) AS INT) AS position FROM m""")
+def q_dfs_order(spark, sf_dir):
+    calls, start = _stored_calls(spark, sf_dir)
+    return graph.dfs_order(calls, start, 6).drop("start")
+
+
+VIEWS = f"""{C}, {R}, {E}, ids AS (SELECT element_id AS id, element_type FROM e),
+d AS (SELECT from_element_id AS src, to_element_id AS dst, reference_type AS k, CASE reference_type WHEN 'TypeUsage' THEN 0.7 ELSE 0.3 END AS weight FROM refs
+  WHERE reference_type IN ('TypeUsage', 'VariableAccess') AND from_element_id IN (SELECT id FROM ids) AND to_element_id IN (SELECT id FROM ids) GROUP BY ALL),
+t AS (SELECT DISTINCT from_element_id AS src, to_element_id AS dst, 0.6 AS weight FROM refs WHERE reference_type = 'TypeUsage'
+  AND from_element_id IN (SELECT id FROM ids WHERE element_type IN ('Struct', 'Enum', 'Trait')) AND to_element_id IN (SELECT id FROM ids WHERE element_type IN ('Struct', 'Enum', 'Trait')))"""
+
+
+@query(f"""WITH {VIEWS},
+v AS (SELECT 'CallChains' AS kind, CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, 1.0 AS weight FROM calls
+UNION ALL SELECT 'CallersChain', CAST(dst AS VARCHAR), CAST(src AS VARCHAR), 1.0 FROM calls UNION ALL SELECT 'Dependencies', src, dst, weight FROM d
+UNION ALL SELECT 'Dependents', dst, src, weight FROM d UNION ALL SELECT 'TypeRelationships', src, dst, weight FROM t)
+SELECT kind, count(*) AS edges, count(DISTINCT src) AS sources, round(CAST(sum(weight) AS DOUBLE), 6) AS weight FROM v GROUP BY kind""")
+def q_neighbours(spark, sf_dir):
+    """The five edge views that traversals follow, summed up."""
+    refs, elements = views.references(spark, sf_dir), views.elements(spark, sf_dir)
+    calls = views.calls(spark, sf_dir).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+    tables = calls, graph.dependency_edges(refs, elements), graph.type_edges(refs, elements)
+    out = None
+    for kind in TRAVERSALS:
+        rows = graph.neighbours(*tables, kind).withColumn("kind", F.lit(kind))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("kind").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
+@query(f"""WITH {VIEWS} SELECT (SELECT count(*) FROM e WHERE element_type = 'Function') AS functions, (SELECT count(*) FROM calls) AS call_chains, (SELECT count(*) FROM calls WHERE src = dst) AS recursive_calls,
+ (SELECT max(call_count) FROM calls) AS most_calls, (SELECT count(*) FROM d) AS dependencies, (SELECT count(DISTINCT src) FROM d) AS dependent_elements, (SELECT count(*) FROM d) AS direct_dependencies,
+ (SELECT count(*) FROM t) AS type_relationships, CAST(0 AS BIGINT) AS implementations, (SELECT count(DISTINCT src) FROM t) AS related_types""")
+def q_graph_build_stats(spark, sf_dir):
+    refs, elements = views.references(spark, sf_dir), views.elements(spark, sf_dir)
+    return graph.build_stats(views.calls(spark, sf_dir), graph.dependency_edges(refs, elements), graph.type_edges(refs, elements), elements.where("element_type = 'Function'"))
 
 
 @query(f"WITH RECURSIVE {C}, {START}, {_walk('src>dst', 40)} SELECT CAST(max(depth) AS INT) AS max_depth FROM w")

@@ -82,7 +82,7 @@ def test_graphs_against_brute_force(spark, seed):
     df, start = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(0,)], "node long")
     simple = brute_paths(edges, 0, 4)
     assert sorted(tuple(r["path"]) for r in graph.paths(df, start, 4).collect()) == sorted(simple)
-    assert sorted(tuple(r["path"]) for r in graph.all_paths(df, start, F.lit(5), 4).collect()) == sorted(p for p in simple if p[-1] == 5 and len(p) > 1)
+    assert sorted(tuple(r["path"]) for r in graph.all_paths(df, start, spark.createDataFrame([(5,)], "node long"), 4).collect()) == sorted(p for p in simple if p[-1] == 5 and len(p) > 1)
     depth = {}
     for p in sorted(brute_paths(edges, 0, 14), key=len):
         depth.setdefault(p[-1], len(p) - 1)
@@ -107,7 +107,7 @@ def test_dag_has_no_cycles_and_a_depth(spark):
     assert graph.cycles(df, 4).count() == 0
     assert graph.max_depth(df, spark.createDataFrame([(0,)], "node long")).first()[0] == 3
     loop = spark.createDataFrame([(0, 1), (1, 0)], "src long, dst long")
-    assert graph.max_depth(loop, spark.createDataFrame([(0,)], "node long"), cap=7).first()[0] == 7
+    assert graph.max_depth(loop, spark.createDataFrame([(0,)], "node long")).first()[0] is None
 
 
 def test_packing_against_a_loop(spark):
@@ -179,3 +179,35 @@ def test_dependency_totals(spark):
     assert row == {"total": 8, "direct": 5, "cyclic": 6, "average_path_length": 1.0, "cyclic_components": 2}
     none = graph.dependency_totals(spark.createDataFrame([], "src long, dst long, is_direct boolean")).first()
     assert none["total"] == 0 and none["average_path_length"] is None
+
+
+def test_deep_and_wide_trees(spark):
+    deep = [(0, None, "n0")] + [(i, i - 1, f"n{i}") for i in range(1, 151)] + [(900, 901, "ring"), (901, 900, "ring"), (902, 903, "lost")]
+    out = {r["id"]: (r["depth"], r["path"]) for r in graph.hierarchy(spark.createDataFrame(deep, "id long, parent long, name string")).collect()}
+    assert out == {i: (i, [f"n{k}" for k in range(i + 1)]) for i in range(151)}
+    assert graph.hierarchy(spark.createDataFrame(deep, "id long, parent long, name string"), 3).count() == 4
+    wide = spark.range(1_200_000).selectExpr("id", "CASE WHEN id > 0 THEN (id - 1) DIV 1100 END AS parent", "CAST(id AS STRING) AS name")
+    row = graph.hierarchy(wide).selectExpr("count(*) AS n", "max(depth) AS d").first()
+    assert row["n"] == 1_200_000 and row["d"] == 2
+    assert graph.hierarchy(wide.limit(0)).count() == 0
+
+
+def test_long_chains(spark):
+    chain = spark.range(130).selectExpr("id AS src", "id + 1 AS dst")
+    start = spark.createDataFrame([(0,)], "node long")
+    assert graph.shortest_paths(chain, start).selectExpr("max(distance)").first()[0] == 130
+    with pytest.raises(ValueError):
+        graph.shortest_paths(chain.withColumn("w", F.lit(-1)), start, "w")
+
+
+def test_call_chains_and_checked_ends(spark):
+    calls = spark.createDataFrame([(1, 2), (2, 3), (2, 2), (4, 2), (3, 4)], "src long, dst long")
+    row = graph.call_chain_analysis(calls, spark.createDataFrame([(2,), (9,)], "node long"), 10).orderBy("start").collect()
+    assert [tuple(r) for r in row] == [(2, 2, 2, 3, 1, 5), (9, 0, 0, 0, 0, 0)]
+    assert {r["node"] for r in graph.trace_calls(calls, spark.createDataFrame([(2,)], "node long"), 1, backward=True).collect()} == {1, 4}
+    elements = spark.createDataFrame([(1,), (2,), (3,)], "element_id long")
+    assert graph.checked_ends(calls.where("src < 3 AND dst < 4"), elements).count() == 3
+    with pytest.raises(Exception, match="no element for src 4"):
+        graph.checked_ends(calls, elements).collect()
+    order = graph.dfs_order(calls, spark.createDataFrame([(1,)], "node long"), 9).orderBy("position").collect()
+    assert [(r["node"], r["depth"]) for r in order] == [(1, 0), (2, 1), (3, 2), (4, 3)]
