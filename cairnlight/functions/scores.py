@@ -148,3 +148,16 @@ def visibility_kind(text: Column) -> Column:
     """Public, Restricted or Private of a visibility's source text."""
     t = F.trim(F.coalesce(text, F.lit("")))
     return F.when(t == "pub", "Public").when(t.startswith("pub"), "Restricted").otherwise("Private")
+
+
+def enhancements(kind: Column, docs: Column, signature: Column, quality: Column) -> Column:
+    """What an element's documentation lacks."""
+    text = F.array_join(docs, " ")
+    low, function, sig = F.lower(text), kind == "Function", F.coalesce(signature, F.lit(""))
+    return _list(
+        (F.octet_length(text) < 20, "say more"),
+        (function & ~low.contains("return") & (sig != "") & ~sig.contains("()"), "say what is returned"),
+        (function & sig.contains("(") & ~low.contains("param") & ~text.contains("# Arguments"), "name the parameters"),
+        (function & ~text.contains("```") & ~text.contains("# Example"), "give an example"),
+        (quality < 0.3, "write it anew"),
+    )

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions import scores
+from ..functions import scores, text
 
 COUNTED = {"function_count": "Function", "struct_count": "Struct", "enum_count": "Enum", "trait_count": "Trait", "module_count": "Module", "impl_count": "Impl"}
 
@@ -110,33 +111,112 @@ def api_surface(elements: DataFrame) -> DataFrame:
     return elements.where("visibility = 'Public'").select(kind.alias("surface"), "name").where("surface IS NOT NULL").groupBy("surface").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("name")).alias("names"))
 
 
+def _at_ranks(values: DataFrame, value: str, by: tuple[str, ...], ranks: dict[str, Column]) -> DataFrame:
+    """For each group the values at given ranks (from 0, expressions over ``n``).
+
+    Values are counted before they are ranked, so a group is as many rows as it
+    has distinct values, and none is collected.
+    """
+    counted = values.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    order = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.withColumn("_hi", F.sum("_c").over(order)).withColumn("n", F.sum("_c").over(Window.partitionBy(*by)))
+    picked = [F.max(F.when((at >= F.col("_hi") - F.col("_c")) & (at < F.col("_hi")), F.col("_v"))).alias(name) for name, at in ranks.items()]
+    return placed.groupBy(*by).agg(*picked)
+
+
 def token_stats(texts: DataFrame, tokens: Column, *by: str) -> DataFrame:
     """Sum, least, most, mean, upper median and 95th percentile of ``tokens``."""
-    df = texts.select(*by, tokens.alias("t")).groupBy(*by).agg(F.sum("t").alias("tokens_total"), F.min("t").alias("tokens_min"), F.max("t").alias("tokens_max"), F.avg("t").alias("tokens_avg"), F.count("t").alias("n"), F.sort_array(F.collect_list("t")).alias("s"))
-    at = lambda i: F.get("s", i.cast("int"))
-    return df.select(*by, "tokens_total", "tokens_min", "tokens_max", "tokens_avg", "n", at(F.floor(F.col("n") / 2)).alias("tokens_median"), at(F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1)).alias("tokens_p95"))
+    values = texts.select(*by, tokens.alias("t"))
+    sums = values.groupBy(*by).agg(F.sum("t").alias("tokens_total"), F.min("t").alias("tokens_min"), F.max("t").alias("tokens_max"), F.avg("t").alias("tokens_avg"), F.count("t").alias("n"))
+    n = F.col("n")
+    ranks = _at_ranks(values, "t", by, {"tokens_median": F.floor(n / 2), "tokens_p95": F.least(F.floor(n * 0.95), n - 1)})
+    if not by:
+        return sums.crossJoin(ranks)
+    keys = ranks.select(*[F.col(c).alias(f"_{c}") for c in by], "tokens_median", "tokens_p95")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return sums.join(keys, same, "left").drop(*[f"_{c}" for c in by])
 
 
 def spread(values: DataFrame, value: str, *by: str) -> DataFrame:
     """Median, quartiles of the halves without the middle, sample deviation."""
-    df = values.where(F.col(value).isNotNull()).groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("s"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stddev"))
-
-    def median(a: Column) -> Column:
-        n = F.size(a)
-        mid = F.floor(n / 2).cast("int")
-        return F.when(n == 0, F.lit(None).cast("double")).when(n % 2 == 1, F.get(a, mid)).otherwise((F.get(a, mid - 1) + F.get(a, mid)) / 2)
-
-    half = F.floor(F.size("s") / 2).cast("int")
-    df = df.withColumns({"lo": F.slice("s", 1, half), "hi": F.slice("s", F.size("s") - half + 1, half)})
-    return df.select(*by, median(F.col("s")).alias("median"), median(F.col("lo")).alias("q1"), median(F.col("hi")).alias("q3"), "stddev")
+    n, half = F.col("n"), F.floor(F.col("n") / 2)
+    ends = {"m1": F.floor((n - 1) / 2), "m2": half, "a1": F.floor((half - 1) / 2), "a2": F.floor(half / 2), "b1": n - half + F.floor((half - 1) / 2), "b2": n - half + F.floor(half / 2)}
+    ranks = _at_ranks(values, value, by, {k: F.when(F.lit(k[0] == "m") | (half > 0), v) for k, v in ends.items()})
+    deviation = values.where(F.col(value).isNotNull()).groupBy(*by).agg(F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stddev"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    joined = deviation.join(ranks.withColumnsRenamed({c: f"_{c}" for c in by}), same)
+    return joined.select(*by, *[((F.col(f"{k}1") + F.col(f"{k}2")) / 2).alias(name) for k, name in (("m", "median"), ("a", "q1"), ("b", "q3"))], "stddev")
 
 
 def file_report(elements: DataFrame) -> DataFrame:
     """Per file: average complexity, public documentation, its three worst issues."""
     public = F.col("visibility") == "Public"
-    issue = F.when(F.col("complexity") > 15, F.struct((-F.col("complexity")).alias("o"), F.concat(F.lit("complex: "), F.col("name")).alias("t")))
-    df = elements.groupBy("relative_path").agg(F.avg("complexity").alias("avg_complexity"), _count_if(public).alias("p"), _count_if(public & (_docs() > 0)).alias("d"), F.slice(F.sort_array(F.collect_list(issue)), 1, 3).alias("i"))
-    return df.select("relative_path", "avg_complexity", F.when(F.col("p") == 0, 1.0).otherwise(F.col("d") / F.col("p")).alias("doc_ratio"), F.transform("i", lambda x: x["t"]).alias("issues"))
+    worst = F.row_number().over(Window.partitionBy("relative_path").orderBy(F.desc("complexity"), "name"))
+    issues = elements.where("complexity > 15").select("relative_path", "complexity", "name", worst.alias("k")).where("k <= 3")
+    listed = issues.groupBy(F.col("relative_path").alias("_path")).agg(F.sort_array(F.collect_list(F.struct("k", F.concat(F.lit("complex: "), "name").alias("t")))).alias("i"))
+    df = elements.groupBy("relative_path").agg(F.avg("complexity").alias("avg_complexity"), _count_if(public).alias("p"), _count_if(public & (_docs() > 0)).alias("d"))
+    df = df.join(listed, F.col("relative_path") == F.col("_path"), "left")
+    issues = F.coalesce(F.transform("i", lambda x: x["t"]), F.array().cast("array<string>"))
+    return df.select("relative_path", "avg_complexity", F.when(F.col("p") == 0, 1.0).otherwise(F.col("d") / F.col("p")).alias("doc_ratio"), issues.alias("issues"))
+
+
+def _quality() -> Column:
+    return scores.documentation_score(F.col("doc_comments"), F.col("element_type"), F.col("parameter_count"))
+
+
+def documentation_coverage(elements: DataFrame) -> DataFrame:
+    """One row: elements, documented ones, their share and their average quality."""
+    has = _docs() > 0
+    df = elements.agg(F.count("*").alias("total"), _count_if(has).alias("documented"), F.coalesce(F.avg(F.when(has, _quality())), F.lit(0.0)).alias("average_quality"))
+    return df.withColumn("coverage", scores.ratio(F.col("documented"), F.col("total")))
+
+
+def enhancements(elements: DataFrame, least: float = 0.7) -> DataFrame:
+    """(element_id, name, quality, suggestions) of documentation under ``least``."""
+    rows = elements.where(_docs() > 0).withColumn("quality", _quality()).where(F.col("quality") < least)
+    return rows.select("element_id", "name", "quality", scores.enhancements(F.col("element_type"), F.col("doc_comments"), F.col("signature"), F.col("quality")).alias("suggestions"))
+
+
+def documentation_links(elements: DataFrame) -> DataFrame:
+    """(element_id, target, target_id, target_type, target_line) of known dependencies.
+
+    Dependencies are looked up by name; of elements that share one the last counts.
+    """
+    known = elements.groupBy(F.col("name").alias("target")).agg(F.max_by(F.struct("element_id", "element_type", "line_start"), F.struct("ordinal", "element_id")).alias("x"))
+    deps = elements.select("element_id", F.explode("dependencies").alias("target"))
+    return deps.join(known, "target").select("element_id", "target", F.col("x.element_id").alias("target_id"), F.col("x.element_type").alias("target_type"), F.col("x.line_start").alias("target_line"))
+
+
+def documentation_examples(elements: DataFrame) -> DataFrame:
+    """(element_id, name, example) of public elements."""
+    return elements.where("visibility = 'Public'").select("element_id", "name", text.usage_example(F.col("element_type"), F.col("name")).alias("example"))
+
+
+def file_records(elements: DataFrame) -> DataFrame:
+    """File metrics with the file's name, extension and average over its functions."""
+    path = F.col("relative_path")
+    name = F.element_at(F.split(path, "/"), -1)
+    extension = F.when(name.contains("."), F.element_at(F.split(name, r"\."), -1)).otherwise("rs")
+    df = file_metrics(elements).withColumns({"file_name": name, "extension": extension})
+    return df.withColumn("complexity_average", F.col("complexity_total") / F.greatest(F.col("function_count"), F.lit(1)))
+
+
+def project_record(elements: DataFrame, name: str, version: str) -> DataFrame:
+    """One row: a project's totals; what a source tree doesn't tell is null."""
+    totals = project_metrics(file_metrics(elements))
+    unknown = {c: F.lit(None).cast("string") for c in ("description", "license", "repository_url", "homepage", "readme_path")}
+    return totals.withColumns({"name": F.lit(name), "version": F.lit(version), **unknown, "authors": F.array().cast("array<string>")})
+
+
+def module_report(elements: DataFrame, references: DataFrame) -> DataFrame:
+    """(dimension, bucket, n): modules and kinds of references, counted."""
+    modules = elements.groupBy(F.lit("module").alias("dimension"), F.col("module_path").alias("bucket")).agg(F.count("*").alias("n"))
+    kinds = references.groupBy(F.lit("reference").alias("dimension"), F.col("reference_type").alias("bucket")).agg(F.count("*").alias("n"))
+    return modules.unionByName(kinds)
 
 
 def histogram(df: DataFrame, column: str) -> DataFrame:

@@ -6,7 +6,7 @@ The score of a document is the sum over the query's words of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -32,3 +32,40 @@ def search(index: DataFrame, docs_count: DataFrame, query: str) -> DataFrame:
     weight = (1 + F.log(F.col("tf").cast("double"))) * F.log(1 + F.col("n") / F.col("df"))
     ranked = scored.groupBy("id").agg(F.sum(weight).alias("rank"), F.count("*").alias("found")).where(F.col("found") == len(terms))
     return ranked.select("id", "rank").orderBy(F.desc("rank"), "id")
+
+
+#: Fields of an element and what a word in one weighs.
+WEIGHTS = {"name": 1.0, "qualified_name": 0.4, "signature": 0.2, "doc_comments": 0.1}
+STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "with")
+
+
+def stem(word: Column) -> Column:
+    """A word without its commonest endings; short words stay whole."""
+    return F.regexp_replace(word, "^(.{3,}?)(ing|ed|ly|ies|y|s)$", "$1")
+
+
+def weighted_postings(elements: DataFrame) -> DataFrame:
+    """(term, element_id, name, weight): the index of elements, to be stored by term.
+
+    Words are stemmed, stop words left out. A term's weight adds up its fields'
+    weights times one plus the logarithm of its count there.
+    """
+    fields = [F.struct(F.lit(w).alias("w"), (F.array_join(f, " ") if f == "doc_comments" else F.col(f)).alias("t")) for f, w in WEIGHTS.items()]
+    rows = elements.select("element_id", "name", F.explode(F.array(*fields)).alias("f")).select("element_id", "name", "f.w", F.explode(text.words(F.translate("f.t", "_", " "))).alias("word"))
+    terms = rows.where(~F.col("word").isin(*STOP_WORDS)).groupBy("element_id", "name", "w", stem(F.col("word")).alias("term")).agg(F.count("*").alias("n"))
+    return terms.groupBy("term", "element_id", "name").agg(F.sum(F.col("w") * (1 + F.log(F.col("n").cast("double")))).alias("weight"))
+
+
+def ranked(index: DataFrame, query: str, prefix: bool = False) -> DataFrame:
+    """(element_id, name, rank) of elements with all words, best first, then by name.
+
+    With ``prefix`` a word also stands for terms that begin with it.
+    """
+    spark = index.sparkSession
+    wanted = sorted({w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split() if w not in STOP_WORDS})
+    asked = spark.createDataFrame([(k, w) for k, w in enumerate(wanted)], "k int, word string").select("k", stem(F.col("word")).alias("q"))
+    match = F.col("term").startswith(F.col("q")) if prefix else F.col("term") == F.col("q")
+    hits = index.join(F.broadcast(asked), match)
+    found = hits.groupBy("element_id", "name").agg(F.sum("weight").alias("rank"), F.countDistinct("q").alias("n"))
+    need = asked.agg(F.countDistinct("q").alias("need"))
+    return found.crossJoin(F.broadcast(need)).where("n = need").select("element_id", "name", "rank").orderBy(F.desc("rank"), "name", "element_id")

@@ -66,7 +66,7 @@ def q_attribute_dependency_lines(spark, sf_dir):
 
 
 @query(f"""WITH {E} SELECT element_id, visibility = 'Public' AS is_public, len(list_filter(attributes, lambda a: contains(a, 'test'))) > 0 AS is_test,
-false AS is_deprecated, false AS is_async, false AS is_unsafe FROM e""")
+len(list_filter(attributes, lambda a: contains(a, 'deprecated'))) > 0 AS is_deprecated, starts_with(coalesce(signature, ''), 'async ') AS is_async, starts_with(coalesce(signature, ''), 'unsafe ') AS is_unsafe FROM e""")
 def q_element_flags(spark, sf_dir):
     return views.elements(spark, sf_dir).select("element_id", *[c.alias(n) for n, c in el.flags().items()])
 
@@ -161,9 +161,10 @@ def q_missing_documentation(spark, sf_dir):
 @query(f"""WITH {E}, t AS (SELECT relative_path, avg(CASE WHEN len(doc_comments) > 0 THEN 1.0 ELSE 0 END) AS d, sum(coalesce(complexity, 0)) / count(*) AS c, count(*) AS total_elements FROM e GROUP BY relative_path),
 h AS (SELECT *, greatest(0, least(1, 0.4 * d + 0.6 * greatest(0, 1 - least(c / 50, 1)))) AS h FROM t)
 SELECT relative_path, round(d, 9) AS documentation_ratio, round(c, 9) AS avg_complexity_over_all, total_elements, round(h, 9) AS health_score,
- CASE WHEN h >= .8 THEN 'excellent' WHEN h >= .6 THEN 'good' WHEN h >= .4 THEN 'fair' ELSE 'poor' END AS health_status FROM h""")
+ CASE WHEN h >= .8 THEN 'excellent' WHEN h >= .6 THEN 'good' WHEN h >= .4 THEN 'fair' ELSE 'poor' END AS health_status,
+ array_to_string(list_filter([CASE WHEN d < .5 THEN 'document more of the code' END, CASE WHEN c > 15 THEN 'reduce the average complexity' END, CASE WHEN d >= .5 AND c <= 15 THEN 'keep going' END], lambda x: x IS NOT NULL), ';') AS recommendations FROM h""")
 def q_health_score(spark, sf_dir):
-    return metrics.summary(views.elements(spark, sf_dir), "relative_path").drop("recommendations").withColumns({c: F.round(c, 9) for c in ("documentation_ratio", "avg_complexity_over_all", "health_score")})
+    return metrics.summary(views.elements(spark, sf_dir), "relative_path").withColumn("recommendations", F.array_join("recommendations", ";")).withColumns({c: F.round(c, 9) for c in ("documentation_ratio", "avg_complexity_over_all", "health_score")})
 
 
 @query("""WITH t AS (SELECT o_orderpriority, avg(l_quantity) AS c, avg(l_discount) AS d, count(*) / count(DISTINCT o_orderkey) AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
@@ -232,9 +233,9 @@ def q_dependency_edges(spark, sf_dir):
 
 
 @query(f"""WITH {E}, {R}, t AS (SELECT element_id FROM e WHERE element_type IN ('Struct', 'Enum', 'Trait'))
-SELECT DISTINCT from_element_id AS src, to_element_id AS dst, 'uses' AS rel_type, CAST(0.6 AS DOUBLE) AS strength FROM refs WHERE reference_type = 'TypeUsage' AND from_element_id IN (SELECT * FROM t) AND to_element_id IN (SELECT * FROM t)""")
+SELECT DISTINCT from_element_id AS src, to_element_id AS dst, 'uses' AS rel_type, CAST(0.6 AS DOUBLE) AS strength, '' AS generic_constraints FROM refs WHERE reference_type = 'TypeUsage' AND from_element_id IN (SELECT * FROM t) AND to_element_id IN (SELECT * FROM t)""")
 def q_type_edges(spark, sf_dir):
-    return graph.type_edges(views.references(spark, sf_dir), views.elements(spark, sf_dir)).select("src", "dst", "rel_type", "strength").distinct()
+    return graph.type_edges(views.references(spark, sf_dir), views.elements(spark, sf_dir)).withColumn("generic_constraints", F.array_join("generic_constraints", ",")).distinct()
 
 
 @query(f"""WITH {C} SELECT c.src, c.dst, c.call_count, a.p_name AS src_name, b.p_name AS dst_name FROM calls c JOIN part a ON a.p_partkey = c.src JOIN part b ON b.p_partkey = c.dst""")
@@ -411,12 +412,12 @@ def q_max_depth(spark, sf_dir):
 
 
 @query(f"""WITH {R}, x AS (SELECT DISTINCT CAST(from_element_id AS BIGINT) AS src, CAST(to_element_id AS BIGINT) AS dst FROM refs)
-SELECT CAST(src AS VARCHAR) AS cycle, 1 AS length FROM x WHERE src = dst
-UNION ALL SELECT a.src || '>' || a.dst, 2 FROM x a JOIN x b ON a.dst = b.src AND b.dst = a.src WHERE a.dst > a.src
-UNION ALL SELECT a.src || '>' || a.dst || '>' || b.dst, 3 FROM x a JOIN x b ON a.dst = b.src JOIN x c ON b.dst = c.src AND c.dst = a.src WHERE a.dst > a.src AND b.dst > a.src AND b.dst <> a.dst""")
+SELECT CAST(src AS VARCHAR) AS cycle, 1 AS length, CAST(1 AS DOUBLE) AS strength FROM x WHERE src = dst
+UNION ALL SELECT a.src || '>' || a.dst, 2, 0.5 FROM x a JOIN x b ON a.dst = b.src AND b.dst = a.src WHERE a.dst > a.src
+UNION ALL SELECT a.src || '>' || a.dst || '>' || b.dst, 3, round(1 / 3, 9) FROM x a JOIN x b ON a.dst = b.src JOIN x c ON b.dst = c.src AND c.dst = a.src WHERE a.dst > a.src AND b.dst > a.src AND b.dst <> a.dst""")
 def q_cycles(spark, sf_dir):
     edges = views.references(spark, sf_dir).select(F.col("from_element_id").cast("long").alias("src"), F.col("to_element_id").cast("long").alias("dst"))
-    return graph.cycles(graph._checkpointed(edges.distinct()), 3).select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"), "length")
+    return graph.cycles(graph._checkpointed(edges.distinct()), 3).select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"), "length", F.round("strength", 9).alias("strength"))
 
 
 @query(f"""WITH RECURSIVE {R}, x AS (SELECT DISTINCT CAST(from_element_id AS BIGINT) AS src, CAST(to_element_id AS BIGINT) AS dst FROM refs),
@@ -464,9 +465,15 @@ CHUNK = "CASE WHEN len(doc_comments) > 0 THEN array_to_string(doc_comments, chr(
 @query(f"""WITH {E}, k AS (SELECT *, {CHUNK} AS content FROM e WHERE visibility = 'Public' AND NOT contains(lower(name), 'test') AND len(list_filter(attributes, lambda a: contains(a, 'test'))) = 0)
 SELECT 'chunk_' || relative_path || '_' || element_id AS id, content, 'File: ' || relative_path || chr(10) || 'Module: ' || module_path || chr(10) || chr(10) || content || chr(10) || 'Complexity: ' || complexity AS content_with_context,
  CAST(ceil(strlen(content) / 4) AS BIGINT) AS token_count, CASE element_type WHEN 'Function' THEN 'behavior' WHEN 'Struct' THEN 'data_structure' WHEN 'Enum' THEN 'data_structure' WHEN 'Trait' THEN 'interface' WHEN 'Impl' THEN 'implementation' ELSE 'organization' END AS semantic_category,
- CASE WHEN len(doc_comments) = 0 THEN 'CodeOnly' WHEN signature IS NULL THEN 'DocumentationOnly' ELSE 'Combined' END AS embedding_strategy, md5(content) AS semantic_hash FROM k""")
+ CASE WHEN len(doc_comments) = 0 THEN 'CodeOnly' WHEN signature IS NULL THEN 'DocumentationOnly' ELSE 'Combined' END AS embedding_strategy, md5(content) AS semantic_hash,
+ CASE WHEN len(doc_comments) = 0 THEN 'Missing' WHEN contains(lower(array_to_string(doc_comments, ' ')), 'example') AND strlen(array_to_string(doc_comments, ' ')) > 100 AND (parameter_count = 0 OR regexp_matches(lower(array_to_string(doc_comments, ' ')), 'param|argument')) THEN 'Excellent'
+  WHEN strlen(array_to_string(doc_comments, ' ')) > 100 AND (contains(lower(array_to_string(doc_comments, ' ')), 'example') OR parameter_count = 0 OR regexp_matches(lower(array_to_string(doc_comments, ' ')), 'param|argument')) THEN 'Good' ELSE 'Basic' END AS documentation_quality,
+ array_to_string(list_filter([CASE WHEN regexp_matches(lower(name), 'http|web|request') THEN 'web' END, CASE WHEN regexp_matches(lower(name), 'db|sql|query') THEN 'database' END, CASE WHEN regexp_matches(lower(name), 'async|future') THEN 'async' END, CASE WHEN regexp_matches(lower(name), 'test|mock') THEN 'testing' END], lambda x: x IS NOT NULL), ',') AS domain_tags,
+ array_to_string(list_filter([CASE WHEN regexp_matches(lower(name), '^(new|create|build)') THEN 'constructor' END, CASE WHEN starts_with(lower(name), 'get') THEN 'getter' END, CASE WHEN starts_with(lower(name), 'set') THEN 'setter' END, CASE WHEN regexp_matches(lower(name), '^(is|has)') THEN 'predicate' END,
+  CASE WHEN element_type = 'Trait' THEN 'contract' END, CASE WHEN element_type IN ('Struct', 'Enum') THEN 'model' END], lambda x: x IS NOT NULL), ',') AS intent_tags FROM k""")
 def q_rag_chunks(spark, sf_dir):
-    return rag.chunks(views.elements(spark, sf_dir)).select("id", "content", "content_with_context", "token_count", "semantic_category", "embedding_strategy", "semantic_hash")
+    df = rag.chunks(views.elements(spark, sf_dir)).drop("retrieval_keywords")
+    return df.withColumns({c: F.array_join(c, ",") for c in ("domain_tags", "intent_tags")})
 
 
 @query("SELECT md5(text) AS hash, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -512,10 +519,11 @@ def q_qa_pairs(spark, sf_dir):
 
 
 @query(f"""WITH {E} SELECT element_id, 'Write a ' || lower(element_type) || ' named ' || name AS prompt, {CHUNK} AS completion,
- CASE WHEN complexity <= 2 AND len(generic_params) = 0 THEN 'beginner' WHEN complexity <= 5 AND len(doc_comments) > 0 THEN 'intermediate' WHEN complexity > 10 OR len(generic_params) > 0 THEN 'advanced' ELSE 'intermediate' END AS difficulty
+ CASE WHEN complexity <= 2 AND len(generic_params) = 0 THEN 'beginner' WHEN complexity <= 5 AND len(doc_comments) > 0 THEN 'intermediate' WHEN complexity > 10 OR len(generic_params) > 0 THEN 'advanced' ELSE 'intermediate' END AS difficulty,
+ array_to_string(list_concat(list_filter([lower(element_type), lower(visibility), CASE WHEN len(generic_params) > 0 THEN 'generic' END, CASE WHEN len(doc_comments) > 0 THEN 'documented' END, CASE WHEN complexity > 5 THEN 'complex' END], lambda x: x IS NOT NULL), attributes), ',') AS tags
 FROM e WHERE element_type IN ('Function', 'Struct', 'Enum', 'Trait') AND (visibility = 'Public' OR len(doc_comments) > 0)""")
 def q_training_examples(spark, sf_dir):
-    return rag.training_examples(views.elements(spark, sf_dir)).drop("tags")
+    return rag.training_examples(views.elements(spark, sf_dir)).withColumn("tags", F.array_join("tags", ","))
 
 
 @query("SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_total, count(*) AS n FROM events GROUP BY 1")
@@ -529,11 +537,6 @@ def q_pending(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query()
-def q_llm_packing(spark, sf_dir):
-    return rag.pack(table(spark, sf_dir, "documents"), text.token_estimate("text"), 4000, "source", "doc_id")
-
-
 @query(f"""WITH {E}, k AS (SELECT CASE WHEN element_type = 'Function' THEN 'functions' WHEN element_type IN ('Struct', 'Enum') THEN 'types' WHEN element_type = 'Trait' THEN 'traits' WHEN element_type = 'Module' THEN 'modules' END AS surface, name FROM e WHERE visibility = 'Public')
 SELECT surface, count(*) AS n, array_to_string(list_sort(list(name)), ',') AS names FROM k WHERE surface IS NOT NULL GROUP BY surface""")
 def q_api_surface(spark, sf_dir):
@@ -564,3 +567,6 @@ def q_markdown(spark, sf_dir):
     from ..sources import sinks
 
     return views.elements(spark, sf_dir).select("element_id", sinks.markdown_block().alias("markdown"))
+
+
+from . import reports  # noqa: E402, F401 (registers its queries)

@@ -9,7 +9,7 @@ ELEMENTS = """
     CASE p_type WHEN 'STANDARD' THEN 'Function' WHEN 'MEDIUM' THEN 'Struct' WHEN 'SMALL' THEN 'Enum'
       WHEN 'ECONOMY' THEN 'Trait' WHEN 'LARGE' THEN 'Impl' ELSE 'Module' END AS element_type,
     replace(p_name, ' ', '_') AS name, p_brand || '::' || replace(p_name, ' ', '_') AS qualified_name, p_brand AS module_path,
-    CASE WHEN p_type = 'STANDARD' THEN 'fn ' || replace(p_name, ' ', '_') || '()' END AS signature,
+    CASE WHEN p_type = 'STANDARD' THEN CASE WHEN p_size % 8 = 0 THEN 'async ' WHEN p_size % 9 = 0 THEN 'unsafe ' ELSE '' END || 'fn ' || replace(p_name, ' ', '_') || '()' END AS signature,
     CASE p_partkey % 3 WHEN 0 THEN 'Public' WHEN 1 THEN 'Restricted' ELSE 'Private' END AS visibility,
     p_size AS complexity, CAST(floor((p_size + 1) / 2) AS INT) AS cyclomatic, p_size AS cognitive, p_size % 7 AS nesting_depth,
     p_size % 9 AS parameter_count, p_size % 3 AS return_count, p_size * 3 AS lines_of_code,
@@ -18,12 +18,12 @@ ELEMENTS = """
 
 SPARK_ARRAYS = """
     CASE WHEN p_size % 4 = 0 THEN CAST(array() AS array<string>) ELSE array('A ' || p_name || ' that helps.', 'Example: `' || replace(p_name, ' ', '_') || '`') END AS doc_comments,
-    CASE WHEN p_size % 10 = 0 THEN array('#[test]') ELSE CAST(array() AS array<string>) END AS attributes,
+    CASE WHEN p_size % 10 = 0 THEN array('#[test]') WHEN p_size % 7 = 0 THEN array('#[deprecated]') ELSE CAST(array() AS array<string>) END AS attributes,
     CASE WHEN p_size % 5 = 0 THEN array(p_brand) ELSE CAST(array() AS array<string>) END AS dependencies,
     CASE WHEN p_size % 6 = 0 THEN array('T') ELSE CAST(array() AS array<string>) END AS generic_params"""
 DUCK_ARRAYS = """
     CASE WHEN p_size % 4 = 0 THEN CAST([] AS VARCHAR[]) ELSE ['A ' || p_name || ' that helps.', 'Example: `' || replace(p_name, ' ', '_') || '`'] END AS doc_comments,
-    CASE WHEN p_size % 10 = 0 THEN ['#[test]'] ELSE CAST([] AS VARCHAR[]) END AS attributes,
+    CASE WHEN p_size % 10 = 0 THEN ['#[test]'] WHEN p_size % 7 = 0 THEN ['#[deprecated]'] ELSE CAST([] AS VARCHAR[]) END AS attributes,
     CASE WHEN p_size % 5 = 0 THEN [p_brand] ELSE CAST([] AS VARCHAR[]) END AS dependencies,
     CASE WHEN p_size % 6 = 0 THEN ['T'] ELSE CAST([] AS VARCHAR[]) END AS generic_params"""
 

@@ -211,3 +211,74 @@ def test_call_chains_and_checked_ends(spark):
         graph.checked_ends(calls, elements).collect()
     order = graph.dfs_order(calls, spark.createDataFrame([(1,)], "node long"), 9).orderBy("position").collect()
     assert [(r["node"], r["depth"]) for r in order] == [(1, 0), (2, 1), (3, 2), (4, 3)]
+
+
+def test_names_across_modules(spark):
+    from cairnlight.operators import namespaces as ns
+
+    rows = [("a", "f", "m::f", "Public", None, "x.rs", 0), ("b", "g", "m::g", "Restricted", "crate", "x.rs", 1), ("c", "h", "m::h", "Restricted", "in m::n", "x.rs", 2), ("d", "k", "m::k", "Private", None, "x.rs", 3), ("e", "s", "m::s", "Restricted", "super", "x.rs", 4)]
+    e = spark.createDataFrame(rows, "element_id string, name string, qualified_name string, visibility string, visibility_scope string, relative_path string, ordinal int")
+    got = {r["simple_name"]: (r["is_public"], r["scope"]) for r in ns.namespaces(e).collect()}
+    assert got == {"f": (True, "Public"), "g": (False, "Crate"), "h": (False, "m::n"), "k": (False, "Private"), "s": (False, "Super")}
+    open_to = lambda place: {r["simple_name"] for r in ns.namespaces(e).where(ns.accessible_from(F.col("scope"), F.col("canonical_path"), F.lit(place))).collect()}
+    assert open_to("m::n::deep") == {"f", "g", "h"} and open_to("m::k") == {"f", "g", "k"} and open_to("m::s::in") == {"f", "g", "s"}
+    imports = spark.createDataFrame([("x.rs", "m", ["f"], False, "ff"), ("x.rs", "std::io", ["Read", "Write"], False, None), ("x.rs", "m", [], True, None), ("x.rs", "serde", [], False, None)], "relative_path string, module_path string, imported_items array<string>, is_glob boolean, alias string")
+    names = ns.import_names(imports)
+    assert {(r["local"], r["path"]) for r in names.collect()} == {("ff", "m::f"), ("Read", "std::io::Read"), ("Write", "std::io::Write"), ("serde", "serde")}
+    assert {r["canonical_path"]: r["aliases"] for r in ns.aliases(e, names).collect()}["m::f"] == ["f", "ff"]
+    assert {r["reference_name"] for r in ns.reference_names(e, names).where("element_id = 'a'").collect()} == {"f", "ff", "m::f"}
+    refs = spark.createDataFrame([("x.rs", t, "m::n") for t in ("ff", "g", "p::q", "z")], "relative_path string, reference_text string, scope string")
+    assert {r["reference_text"]: r["canonical_path"] for r in ns.resolve(refs, names, e).collect()} == {"ff": "m::f", "g": "m::g", "p::q": "p::q", "z": "m::n::z"}
+    assert value(spark, ns.path_accessible(F.lit("crate::a"), F.lit("b"))) and not value(spark, ns.path_accessible(F.lit("m::a"), F.lit("q")))
+
+
+def test_schema_changes(spark, tmp_path):
+    from cairnlight.operators import maintenance as mt
+
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c/001_first.sql").write_text("-- Description: makes a view\nCREATE OR REPLACE TEMP VIEW ledger_v AS SELECT 1 AS x;\n-- down\nDROP VIEW ledger_v;\n")
+    (tmp_path / "c/002_second.sql").write_text("-- second one\nCREATE OR REPLACE TEMP VIEW ledger_w AS SELECT x + 1 AS y FROM ledger_v\n")
+    (tmp_path / "c/notes.txt").write_text("none")
+    ledger = mt.Ledger(spark, str(tmp_path / "ledger"), tmp_path / "c")
+    assert [c.version for c in ledger.pending()] == [1, 2] and not ledger.up_to_date() and mt.health(spark, ledger)["status"] == "Degraded"
+    assert [(c.version, c.description) for c in ledger.migrate()] == [(1, "makes a view"), (2, "second one")]
+    assert spark.table("ledger_w").first()["y"] == 2 and ledger.up_to_date() and mt.health(spark, ledger)["status"] == "Healthy"
+    with pytest.raises(mt.MaintenanceError):
+        ledger.rollback()
+    (tmp_path / "c/001_first.sql").write_text("-- other\nSELECT 1;\n")
+    (tmp_path / "c/002_second.sql").unlink()
+    assert [tuple(r) for r in ledger.drift().collect()] == [(1, "changed"), (2, "missing")]
+    (tmp_path / "c/002_second.sql").write_text("SELECT 1;\n-- rollback\nDROP VIEW ledger_w;\n")
+    assert ledger.rollback().version == 2 and [r["version"] for r in ledger.applied().collect()] == [1]
+    assert mt.health(spark, mt.Ledger(spark, str(tmp_path / "ledger"), tmp_path / "c"))["status"] == "Degraded"
+    assert len(mt.advice("SELECT * FROM t WHERE a LIKE '%x'")) == 3 and mt.advice("SELECT a FROM t LIMIT 1") == []
+    found = mt.analyzed(spark.range(10).groupBy(F.col("id") % 3).count())
+    assert found["Exchange"] >= 1 and found["ms"] > 0
+    assert mt.merged({"a": {"b": 1, "c": 2}, "d": 3}, {"a": {"b": 9}, "e": 4}) == {"a": {"b": 9, "c": 2}, "d": 3, "e": 4}
+    assert mt.setting({"a": 1}, "a", 5) == 1 and mt.setting({"a": "x"}, "a", 5) == 5
+    with pytest.raises(mt.MaintenanceError):
+        mt.require({"a": 1}, ["a", "b"])
+
+
+def test_packing_by_loops(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([0, 5, 30, 120, None])) for i in range(200)]
+    want = {}
+    for g in ("a", "b", None):
+        chunks = [[0, 0]]
+        for _, _, t in (r for r in rows if r[0] == g):
+            if chunks[-1][0] and chunks[-1][1] + (t or 0) > 100:
+                chunks.append([0, 0])
+            chunks[-1][0] += 1
+            chunks[-1][1] += t or 0
+        want |= {(g, k): tuple(c) for k, c in enumerate(chunks)}
+    df = spark.createDataFrame(rows, "g string, o int, t int")
+    assert {(r["g"], r["chunk"]): (r["items"], r["tokens"]) for r in rag.pack(df, F.col("t"), 100, "g", "o").collect()} == want
+    assert rag.pack(df.limit(0), F.col("t"), 100, "g", "o").count() == 0
+
+
+def test_whole_retrieval_document(spark):
+    e = views.elements(spark, SF).withColumn("parent_id", F.lit(None).cast("string"))
+    parts = rag.document(e, {"name": "p"}, views.references(spark, SF))
+    assert set(parts) == {"metadata", "chunks", "semantics", "examples"}
+    assert parts["metadata"].count() == 1 and parts["chunks"].count() == rag.chunks(e).count() > 0
