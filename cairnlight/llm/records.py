@@ -182,7 +182,10 @@ def write_records(docs: DataFrame, path: str, ranks_path: str, *, id_col: str =
     """Write ``path``/part-*.rec and ``path``/index; the index is returned.
 
     Its rows are (id, file, offset, length, n_tokens, crc): where a record
-    begins in which file, its payload's bytes, and the masked checksum.
+    begins in which file, its payload's bytes, and the masked checksum. A file
+    is named by its partition and task attempt, and the index holds rows of
+    committed attempts only, so a retried or lost task leaves no wrong offsets.
+    Files of tasks without rows, and of lost attempts, are deleted at the end.
 
     Defined cases: a null text has no record and no index row. An empty text
     has a record without payload. Repeated rows and null ids have records like
@@ -199,8 +202,9 @@ def write_records(docs: DataFrame, path: str, ranks_path: str, *, id_col: str =
         tokenizer, task = Tokenizer(shared.value), TaskContext.get()
         files, root = fs.FileSystem.from_uri(path)
         files.create_dir(root, recursive=True)
-        name = f"part-{task.partitionId():06d}.rec"
-        draft = f"{root}/.{name}-{task.taskAttemptId()}"
+        # an attempt's own name: no other attempt can put other bytes under it
+        name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.rec"
+        draft = f"{root}/.{name}"
         at = 0
         with files.open_output_stream(draft) as sink:
             for batch in batches:
@@ -223,7 +227,19 @@ def write_records(docs: DataFrame, path: str, ranks_path: str, *, id_col: str =
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, file string, offset long, length long, n_tokens int, crc long")
     rows.write.parquet(f"{path}/index")
-    return spark.read.schema(rows.schema).parquet(f"{path}/index")
+    index = spark.read.schema(rows.schema).parquet(f"{path}/index")
+    drop_orphans(index, path)
+    return index
+
+
+def drop_orphans(index: DataFrame, path: str) -> list[str]:
+    """Delete record files and drafts that no index row names, left by lost attempts."""
+    files, root = fs.FileSystem.from_uri(path)
+    known = {r[0] for r in index.select("file").distinct().collect()}
+    found = [f for f in files.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.base_name.endswith(".rec") and f.base_name not in known]
+    for f in found:
+        files.delete_file(f.path)
+    return sorted(f.base_name for f in found)
 
 
 def read_records(index: DataFrame, path: str, width: int = 2) -> DataFrame:

@@ -75,3 +75,15 @@ def test_damage_is_found(docs_of, tmp_path):
 
 def test_empty_table(docs_of, tmp_path):
     assert records.write_records(docs_of([]), f"file://{tmp_path}/out", RANKS).count() == 0
+
+
+def test_lost_attempts_leave_nothing(spark, docs_of, tmp_path):
+    out = f"file://{tmp_path}/out"
+    index = records.write_records(docs_of([(i, f"text {i}") for i in range(20)]), out, RANKS)
+    (tmp_path / "out/part-000000-999999.rec").write_bytes(b"other bytes of a lost attempt")
+    (tmp_path / "out/.part-000001-999998.rec").write_bytes(b"half")
+    assert records.drop_orphans(index, out) == [".part-000001-999998.rec", "part-000000-999999.rec"]
+    assert records.drop_orphans(index, out) == []
+    assert records.read_records(index, out).count() == 20
+    named = {r[0] for r in index.select("file").distinct().collect()}
+    assert named == {p.name for p in (tmp_path / "out").iterdir() if p.name.endswith(".rec")}
