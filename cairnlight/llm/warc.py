@@ -17,6 +17,8 @@ CRLF = "\r\n"
 BLOCK_TAGS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul"
 UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
 ENTITIES = [("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&euro;", "€"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")]
+LINK = r"""(?i)<a\s(?:[^<>]*?\s)?href\s*=\s*("[^"<>]*"|'[^'<>]*'|[^\s"'<>]+)"""
+QUOTES = r"""^["']|["']$"""
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -77,17 +79,19 @@ def derivatives(source: DataFrame) -> DataFrame:
 
     Defined cases: a null or empty body gives an empty conversion block and a
     metadata record with the digest of nothing. A null URI, date or HTTP header
-    leaves out its lines. A null record id leaves out WARC-Refers-To. Repeated
+    leaves out its lines; folded header lines are joined. Links are the href of
+    ``a`` elements, quoted either way or not at all. A null record id leaves out WARC-Refers-To. Repeated
     responses give repeated records with the same ids. Pages of any length are
     converted whole. An empty table gives none.
     """
     body, sha = F.col("body"), F.col("sha")
     source = source.select("record_id", "target_uri", "warc_date", "http_header", F.coalesce("body", F.lit("")).alias("body"))
     source = source.withColumn("sha", F.sha1(F.encode("body", "UTF-8")))
-    lines = F.split(F.col("http_header"), CRLF)
+    lines = F.split(F.regexp_replace("http_header", r"\r\n[ \t]+", " "), CRLF)  # folded lines are one
     named = F.transform(F.filter(lines, lambda x, i: (i > 0) & (x != "")), lambda x: F.concat(F.lit("http-header: "), x))
     title = F.nullif(F.trim(F.regexp_replace(_unescaped(F.regexp_extract(body, r"(?is)<title\b[^<>]*>(.*?)</title\s*>", 1)), r"\s+", " ")), F.lit(""))
-    links = F.transform(F.regexp_extract_all(body, F.lit(r'(?i)<a\s[^<>]*?href="([^"<>]*)"'), F.lit(1)), lambda u: F.concat(F.lit("outlink: "), F.regexp_replace(_unescaped(u), r"[\r\n]+", " ")))
+    found = F.regexp_extract_all(body, F.lit(LINK), F.lit(1))
+    links = F.transform(found, lambda u: F.concat(F.lit("outlink: "), F.regexp_replace(_unescaped(F.regexp_replace(u, QUOTES, "")), r"[\r\n]+", " ")))
     none = F.array().cast("array<string>")
     fields = F.concat(
         F.array_compact(F.array(_line("http-status-line", F.get(lines, F.lit(0))))),
@@ -155,6 +159,7 @@ def sql() -> str:
     text = f"trim({text}, ' ' || chr(10))"
     title = f"nullif(trim(regexp_replace({_sql_unescaped(r"regexp_extract(html, '(?is)<title\b[^<>]*>(.*?)</title\s*>', 1)")}, '\\s+', ' ', 'g')), '')"
     nl = "chr(13) || chr(10)"
+    link, quotes = (x.replace("'", "''") for x in (LINK, QUOTES))
     return rf"""
 WITH r AS (
   SELECT {_sql_id("concat_ws('|', 'response', page_id, url)")} AS rid, url, coalesce(html, '') AS html FROM pages),
@@ -163,8 +168,8 @@ b AS (
     'http-status-line: HTTP/1.1 200 OK' || {nl} || 'http-header: Content-Type: text/html; charset=utf-8' || {nl}
     || 'http-header: Content-Length: ' || strlen(html) || {nl} || 'payload-digest: ' || {_sql_digest("html")} || {nl}
     || coalesce('title: ' || {title} || {nl}, '')
-    || array_to_string(list_transform(regexp_extract_all(html, '(?i)<a\s[^<>]*?href="([^"<>]*)"', 1),
-         lambda u: 'outlink: ' || {_sql_unescaped("u")} || {nl}), '') AS meta
+    || array_to_string(list_transform(regexp_extract_all(html, '{link}', 1),
+         lambda u: 'outlink: ' || {_sql_unescaped(f"regexp_replace(u, '{quotes}', '', 'g')")} || {nl}), '') AS meta
   FROM r),
 k AS (
   SELECT rid, url, 'metadata' AS warc_type, 'application/warc-fields' AS content_type, meta AS block FROM b

@@ -64,3 +64,15 @@ def test_many_unclosed_parts(spark):
     page = "<script <!-- <style <p " * 2000
     assert [r["block"] for r in run(spark, [(1, "u", page)]) if r["warc_type"] == "conversion"] == [""]
     assert html.unescape("&copy;") == dict(warc.ENTITIES)["&copy;"]
+
+
+def test_links_and_real_headers(spark):
+    body = """<a class=x href='/one'>1</a> <A data-href="/no" HREF = "/two&amp;x">2</A><a href=/three>3</a><a name="href">n</a><area href="/area">"""
+    header = "HTTP/1.0 404 Not Found\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\nX-Folded: one\r\n\ttwo\r\n   three\r\nServer: s\r\n\r\n"
+    source = spark.createDataFrame([("urn:uuid:1", "http://a", "2020-02-02T00:00:00Z", header, body), ("urn:uuid:2", None, None, None, None)], "record_id string, target_uri string, warc_date string, http_header string, body string")
+    rows = {(r["refers_to"], r["warc_type"]): r for r in warc.derivatives(source).collect()}
+    lines = rows["urn:uuid:1", "metadata"]["block"].split("\r\n")
+    assert lines[:5] == ["http-status-line: HTTP/1.0 404 Not Found", "http-header: Set-Cookie: a=1", "http-header: Set-Cookie: b=2", "http-header: X-Folded: one two three", "http-header: Server: s"]
+    assert lines[5].startswith("payload-digest: sha1:") and lines[6:] == ["outlink: /one", "outlink: /two&x", "outlink: /three", ""]
+    assert "WARC-Date: 2020-02-02T00:00:00Z" in rows["urn:uuid:1", "conversion"]["header"]
+    assert rows["urn:uuid:2", "conversion"]["block"] == "" and "WARC-Target-URI" not in rows["urn:uuid:2", "metadata"]["header"]
