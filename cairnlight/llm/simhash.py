@@ -1,37 +1,46 @@
-"""Near-duplicate documents by SimHash with deletion-variant segments.
+"""Near-duplicate documents by SimHash, all pairs within the distance.
 
 A document's words, weighted by one plus the logarithm of their counts (so that
 no mark or function word can outvote the rest), vote on a
-fingerprint of ``SEGMENTS * SEGMENT_BITS`` bits. Of two fingerprints that differ
-in fewer than 2 * SEGMENTS bits, at least one segment differs by one bit at
-most. So every segment is indexed once as it is and once with each of its bits
-as a wildcard, and an equality join on (segment, wildcard, rest) proposes the
-pairs; there the side with a 0 at the wildcard meets the side with a 1, so that
-a pair comes up once for a segment and never through itself. A proposed pair is
-verified on its whole fingerprints, and on a sketch of its neighbouring words,
-which keeps texts apart that share marks and function words alone. Pairs up to ``max_distance`` beyond the
-guarantee are found as often as one of their segments agrees to one bit.
+fingerprint of ``SEGMENTS * SEGMENT_BITS`` bits. Two documents are linked if
+their fingerprints differ by ``max_distance`` bits at most and so do sketches of
+their neighbouring words by ``max_sketch_distance``, which keeps texts apart
+that share marks and function words alone.
+
+The search is exact. Fingerprints are cut in parts, and each part is searched up
+to a radius of its own. As the radii plus one add up to ``max_distance`` + 1, a
+pair that no part finds is further apart than that. A part is searched by the
+values of it that occur: every value meets those that differ by a mask of as
+many bits as its radius or less, and their rows are verified on sketches and whole
+fingerprints. Which parts and radii are cheapest is estimated from a sample of
+rows; it changes the work, never the result.
 
 Documents with one fingerprint are one node, so groups of thousands of copies
 cost one row. Verified pairs are closed into groups by alternating star
 contraction; each group is named by its lowest id.
 
-For larger corpora take more bits for a segment (about the binary logarithm of
-the number of distinct fingerprints), as the candidates of a node are
-(SEGMENT_BITS + 1) * nodes / 2**SEGMENT_BITS for a segment.
+Pairs of blocks of nodes are tasks. The candidates of a part grow with the
+square of the nodes (a few in a hundred of all pairs at 18 bits).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.dataset as pads
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .scratch import checkpointed, fresh, planned_with, stored
+from .scratch import checkpointed, fresh, new_path, stored
 from .words import chunks, split_words
 
 SEGMENTS = 7
@@ -42,6 +51,13 @@ CHUNK_BYTES = 1 << 20
 SKETCH_DISTANCE = 14
 WORDS_AT_ONCE = 1 << 16
 PART_WORDS = 1 << 14
+BLOCK_ROWS = 1 << 18
+LEAST_ROWS = 1 << 14
+SPREAD = 5
+INDEX_BITS = 18
+PAIRS_AT_ONCE = 1 << 18
+CANDIDATE_COST = 30  # in lookups of a value
+CALL_COST = 2000
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -128,51 +144,190 @@ def _packed(segments: int, segment_bits: int, fp: str = "fp") -> list:
     return [*longs, F.coalesce(F.get(fp, F.lit(segments)), F.lit(0).cast("long"))]
 
 
+def _radii(cost: list[np.ndarray], max_distance: int) -> tuple[float, list[int]]:
+    """The cheapest radius of every segment, -1 for none, that misses no pair.
+
+    ``cost[s][r]`` is that of searching segment s up to radius r - 1. If the radii
+    plus one add up to ``max_distance`` + 1, a pair that is further apart in every
+    segment is further apart in all than ``max_distance``.
+    """
+    best = np.full(max_distance + 2, np.inf)
+    best[0], picks = 0, []
+    for c in cost:
+        total = np.full((len(c), len(best)), np.inf)
+        for r in range(min(len(c), len(best))):
+            total[r, r:] = best[: len(best) - r] + c[r]
+        picks.append(total.argmin(axis=0))
+        best = total.min(axis=0)
+    at, radii = len(best) - 1, []
+    for pick in reversed(picks):
+        radii.append(int(pick[at]) - 1)
+        at -= int(pick[at])
+    return float(best[-1]), radii[::-1]
+
+
+class Block:
+    """One block of fingerprints: ``words`` of whole segments, the last one a sketch."""
+
+    def __init__(self, names: np.ndarray, words: list[np.ndarray], segments: int, segment_bits: int):
+        self.names, self.words, self.bits, self.segment_bits = names, words, segments * segment_bits, segment_bits
+        per = 63 // segment_bits
+        self.segments = []
+        for s in range(segments):
+            last = min((s // per + 1) * per, segments) - 1
+            self.segments.append(words[s // per] >> (last - s) * segment_bits & ((1 << segment_bits) - 1))
+
+    def part(self, low: int, high: int, rows=slice(None)) -> np.ndarray:
+        """The bits from ``low`` to before ``high`` of the whole fingerprint."""
+        out, size = np.zeros(len(self.names), np.int64)[rows], self.segment_bits
+        for s in range(low // size, -(-high // size)):
+            start, stop = max(low, s * size), min(high, (s + 1) * size)
+            out = out << (stop - start) | self.segments[s][rows] >> ((s + 1) * size - stop) & ((1 << (stop - start)) - 1)
+        return out.astype(np.int32)
+
+
+def _by_value(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in the order of their values, the values, where they start and how often they are."""
+    order = np.argsort(values, kind="stable").astype(np.int32)
+    found, starts, counts = np.unique(values[order], return_index=True, return_counts=True)
+    return order, found, starts.astype(np.int32), counts.astype(np.int32)
+
+
+def _plan(a: Block, b: Block, max_distance: int) -> list[tuple[int, int, int]]:
+    """(first bit, end, radius) of the parts to search, by the cost that a sample of rows shows.
+
+    One empty part, which all rows share, is all pairs.
+    """
+    rng = np.random.default_rng(0)
+    x, y = (rng.choice(len(k.names), min(len(k.names), n), replace=False) for k, n in ((a, 256), (b, 1024)))
+    pairs = len(a.names) * len(b.names)
+    best, plan = CANDIDATE_COST * pairs, [(0, 0, 0)]
+    fewest = -(-a.bits // INDEX_BITS)
+    for count in range(fewest, min(fewest + 2, a.bits) + 1):
+        ends = [a.bits * k // count for k in range(count + 1)]
+        cost = []
+        for low, high in zip(ends, ends[1:]):
+            near = np.bincount(np.bitwise_count(a.part(low, high, x)[:, None] ^ b.part(low, high, y)).ravel(), minlength=high - low + 1).cumsum() / (len(x) * len(y))
+            masks = np.cumsum([comb(high - low, r) for r in range(high - low + 1)])
+            cost.append(np.concatenate([[0], CANDIDATE_COST * pairs * near + masks * (len(a.names) + CALL_COST)]))
+        total, radii = _radii(cost, min(max_distance, a.bits))
+        if total < best:
+            best, plan = total, [(low, high, r) for low, high, r in zip(ends, ends[1:], radii) if r >= 0]
+    return plan
+
+
+def _hits(found: np.ndarray, place: np.ndarray, bits: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of values of both sides that differ by ``radius`` bits at most."""
+    for r in range(radius + 1):
+        for chosen in combinations(range(bits), r):
+            met = place[found ^ np.int32(sum(1 << k for k in chosen))]
+            left = np.flatnonzero(met >= 0)
+            if len(left):
+                yield left, met[left]
+
+
+def _together(parts: Iterator[tuple[np.ndarray, np.ndarray]], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size >= most:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
+def _unfolded(starts: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ranges of numbers one after another, each number with the place of its range; about PAIRS_AT_ONCE at once."""
+    ends, low = np.cumsum(counts, dtype=np.int64), 0
+    places = np.arange(len(counts), dtype=np.int32)
+    while low < len(counts):
+        done = int(ends[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, done + PAIRS_AT_ONCE, side="right")))
+        n = counts[low:high]
+        shift = (starts[low:high] - (ends[low:high] - done - n)).astype(np.int32)
+        yield np.repeat(places[low:high], n), np.arange(int(ends[high - 1]) - done, dtype=np.int32) + np.repeat(shift, n)
+        low = high
+
+
+def close_rows(a: Block, b: Block, max_distance: int, max_sketch_distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of two blocks within both distances, each once."""
+    out = [np.empty(0, np.int64)]
+    if not len(a.names) or not len(b.names) or max_distance < 0:
+        return out[0], out[0]
+    for low, high, radius in _plan(a, b, max_distance):
+        order, found, starts, counts = _by_value(a.part(low, high))
+        order2, found2, starts2, counts2 = _by_value(b.part(low, high))
+        place = np.full(1 << (high - low), -1, np.int32)
+        place[found2] = np.arange(len(found2))
+        mine, theirs = [w[order] for w in a.words], [w[order2] for w in b.words]
+        for left, right in _together(_hits(found, place, high - low, radius), PAIRS_AT_ONCE):
+            for x, rows in _unfolded(starts[left], counts[left]):  # a value's rows on this side, then the rows that each of them meets
+                met = right[x]
+                for y, j in _unfolded(starts2[met], counts2[met]):
+                    i = rows[y]
+                    keep = np.flatnonzero(np.bitwise_count(mine[-1][i] ^ theirs[-1][j]) <= max_sketch_distance)  # few are so close
+                    i, j = i[keep], j[keep]
+                    apart = sum(np.bitwise_count(m[i] ^ t[j]).astype(np.int64) for m, t in zip(mine[:-1], theirs[:-1]))
+                    i, j = i[apart <= max_distance], j[apart <= max_distance]
+                    if len(i):
+                        out.append(order[i].astype(np.int64) * len(b.names) + order2[j])
+    both = np.unique(np.concatenate(out))
+    return both // len(b.names), both % len(b.names)
+
+
 def candidate_pairs(fps: DataFrame, segments: int, segment_bits: int, max_distance: int, max_sketch_distance: int = SKETCH_DISTANCE) -> DataFrame:
-    """Verified pairs (a, b), a < b, of node ids; ``fps`` has (id, fp), fp unique.
+    """All pairs (a, b), a < b, of node ids within both distances; ``fps`` has (id, fp), fp unique.
 
-    They are the pairs of which a segment differs by one bit at most, all
-    segments by ``max_distance`` and the sketches by ``max_sketch_distance``.
+    They are the pairs of which all segments differ by ``max_distance`` bits at
+    most and the sketches by ``max_sketch_distance``; none is missed.
 
-    All variants with a wildcard in one half of a segment agree on its other
-    half. So a fingerprint moves once for each half, by (segment, half, other
-    half), and its variants unfold where they are joined. The result is
-    checkpointed, as the join is planned to keep that partitioning.
+    Nodes are written in blocks to the shared folder, and every pair of blocks
+    is a task. The result is checkpointed.
     """
     spark = fps.sparkSession
-    half = segment_bits // 2
+    whole = isinstance(fps.schema["id"].dataType, IntegralType)
     longs = [f"f{i}" for i in range(-(-segments // (63 // segment_bits)) + 1)]
-    packed = fps.select("id", "fp", *[x.alias(c) for x, c in zip(_packed(segments, segment_bits), longs)])
-    spots = []
-    for s in range(segments):
-        v = F.get("fp", F.lit(s))
-        for low, other in ((0, F.shiftright(v, half)), (half, v.bitwiseAND(F.lit((1 << half) - 1)))):
-            bucket = F.lit((2 * s + (low > 0)) << segment_bits).cast("long").bitwiseOR(other)
-            spots.append(F.struct(bucket.alias("bucket"), F.lit(low).alias("low"), v.cast("int").alias("v")))
-    moved = packed.select("id", *longs, F.explode(F.array(*spots)).alias("s")).select("id", *longs, "s.*").repartition("bucket")
-
-    def side(mark: str):
-        v, keys = F.col("v"), [F.when(F.col("low") == 0, F.col("v"))]
-        for k in range(max(half, segment_bits - half)):
-            in_low, in_high = k < half, half + k < segment_bits
-
-            def choose(f):
-                low = F.when(F.col("low") == 0, F.lit(f(k))) if in_low else F.when(F.lit(False), F.lit(0))
-                return low.when(F.col("low") > 0, F.lit(f(half + k))) if in_high else low
-
-            bit = choose(lambda place: 1 << place)
-            mine = v.bitwiseAND(bit) == 0 if mark == "a" else v.bitwiseAND(bit) != 0
-            keys.append(F.when(mine, choose(lambda place: (place + 1) << segment_bits).bitwiseOR(v.bitwiseAND(F.bitwise_not(bit)))))
-        rows = moved.select("bucket", "id", *longs, F.explode(F.array_compact(F.array(*keys))).alias("k"))
-        return rows.select(*[F.col(c).alias(c + mark) for c in rows.columns])
-
-    a, b = side("a"), side("b")
-    apart = [F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in longs]
-    differing = reduce(lambda x, y: x + y, apart[:-1])
-    exact = F.col("ka") < (1 << segment_bits)
-    found = a.join(b, (F.col("bucketa") == F.col("bucketb")) & (F.col("ka") == F.col("kb")) & (differing <= max_distance) & (apart[-1] <= max_sketch_distance) & (~exact | (F.col("ida") < F.col("idb"))))
-    with planned_with(spark, spark__sql__requireAllClusterKeysForCoPartition="false"):
-        return checkpointed(found.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct())
+    packed = fps.select("id", *[x.alias(c) for x, c in zip(_packed(segments, segment_bits), longs)])
+    if whole:
+        packed = packed.withColumn("n", F.col("id").cast("long"))
+    else:  # ids of other types go by a number
+        packed = stored(packed.withColumn("n", F.monotonically_increasing_id()), "numbered")
+    rows = fps.count()
+    count = max(-(-rows // BLOCK_ROWS), min(SPREAD, -(-rows // LEAST_ROWS)))
+    path = new_path(spark, "blocks")
+    blocks = packed.select("n", *longs, F.pmod(F.xxhash64("n"), F.lit(max(1, count))).cast("int").alias("block")).repartition(max(1, count), "block")
+    blocks.write.option("compression", "zstd").partitionBy("block").parquet(path)
+    tasks = [(i, j) for i in range(count) for j in range(i, count)]
+
+    def run(batches):
+        files, root = fs.FileSystem.from_uri(path)
+        data = pads.dataset(root, filesystem=files, format="parquet", partitioning=pads.partitioning(pa.schema([("block", pa.int32())]), flavor="hive"))
+
+        def read(block: int) -> Block:
+            table = data.to_table(columns=["n", *longs], filter=pc.field("block") == block)
+            return Block(table["n"].to_numpy(), [table[c].to_numpy() for c in longs], segments, segment_bits)
+
+        for batch in batches:
+            for task in batch.column(0).to_pylist():
+                i, j = tasks[task]
+                a = read(i)
+                b = a if i == j else read(j)
+                x, y = close_rows(a, b, max_distance, max_sketch_distance)
+                if i == j:
+                    x, y = x[x < y], y[x < y]
+                x, y = a.names[x], b.names[y]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    found = spark.range(0, len(tasks), 1, max(1, len(tasks))).mapInArrow(run, "a long, b long")
+    if whole:
+        kind = fps.schema["id"].dataType
+        return checkpointed(found.select(F.col("a").cast(kind), F.col("b").cast(kind)))
+    for c in ("a", "b"):
+        names = packed.select(F.col("n").alias(c), F.col("id").alias(f"id_{c}"))
+        found = found.join(names, c)
+    return checkpointed(found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")))
 
 
 def connected(pairs: DataFrame) -> DataFrame:
@@ -201,13 +356,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(doc_id, duplicate_of) for every document but the first of its group.
 
     Two documents are linked if their fingerprints differ by ``max_distance``
-    bits at most, at least one segment of them by one bit at most, and the
-    sketches of their neighbouring words by ``max_sketch_distance`` of
-    SKETCH_BITS bits. Below 2 * ``segments`` bits the second always holds, so
-    no pair is missed there; the third keeps apart texts that share their words
-    but not the order of them (SKETCH_BITS turns it off). Documents of equal
-    fingerprint and sketch are linked. Groups are what links connect; the
-    document with the lowest id of a group stands for it.
+    bits at most and the sketches of their neighbouring words by
+    ``max_sketch_distance`` of SKETCH_BITS bits; no such pair is missed. The
+    second keeps apart texts that share their words but not the order of them
+    (SKETCH_BITS turns it off). Documents of equal fingerprint and sketch are
+    linked. Groups are what links connect; the document with the lowest id of a
+    group stands for it.
 
     Defined cases: rows without an id, and rows with a null, empty or blank
     text, are no one's duplicates. Rows that repeat an id are one document; if

@@ -44,6 +44,48 @@ def test_candidates_against_all_pairs(spark, docs_of):
     assert got == {(a, b) for a, b in zip(*np.nonzero(dist <= 13)) if a < b}
 
 
+def far_pairs(n=150):
+    """Fingerprints and sketches in pairs of which every segment is 2 to 4 bits apart."""
+    rng = np.random.default_rng(8)
+    fp = np.column_stack([rng.integers(0, 1 << 18, (n, 7)), rng.integers(0, 1 << simhash.SKETCH_BITS, n)])
+    flip = lambda width, k: sum(1 << int(b) for b in rng.choice(width, k, replace=False))
+    other = fp ^ np.array([[flip(18, k) for k in rng.choice((2, 3, 3, 4), 7)] + [flip(simhash.SKETCH_BITS, rng.integers(8, 18))] for _ in range(n)])
+    other[: n // 3] = fp[: n // 3] ^ np.array([[flip(18, k) for k in rng.permutation((3, 3, 3, 3, 3, 3, 4))] + [flip(simhash.SKETCH_BITS, 14)] for _ in range(n // 3)])
+    return np.concatenate([fp, other])
+
+
+def all_pairs(fp, most, sketch):
+    apart = np.bitwise_count(fp[:, None] ^ fp[None])
+    near = (apart[:, :, :-1].sum(axis=2) <= most) & (apart[:, :, -1] <= sketch)
+    return {(int(a), int(b)) for a, b in zip(*np.nonzero(near)) if a < b}, apart[:, :, :-1].min(axis=2)
+
+
+def test_pairs_without_a_segment_in_common(spark, monkeypatch):
+    """At the default distances, in blocks, for ids of any type."""
+    fp = far_pairs()
+    want, least = all_pairs(fp, simhash.MAX_DISTANCE, simhash.SKETCH_DISTANCE)
+    assert len(want) > 60 and all(least[p] > 1 for p in want)
+    df = spark.createDataFrame([(i, [int(x) for x in f]) for i, f in enumerate(fp)], "id long, fp array<long>")
+    named = df.selectExpr("printf('%05d', id) AS id", "fp")
+    for rows in (100, 1 << 14):
+        monkeypatch.setattr(simhash, "LEAST_ROWS", rows)
+        assert sorted((r["a"], r["b"]) for r in simhash.candidate_pairs(df, 7, 18, simhash.MAX_DISTANCE).collect()) == sorted(want)
+    assert {(int(r["a"]), int(r["b"])) for r in simhash.candidate_pairs(named, 7, 18, simhash.MAX_DISTANCE).collect()} == want
+
+
+def test_search_by_parts_against_all_pairs(monkeypatch):
+    fp = far_pairs()
+    words = [(fp[:, s] << 36) | (fp[:, s + 1] << 18) | fp[:, s + 2] for s in (0, 3)] + [fp[:, 6], fp[:, 7]]
+    block = simhash.Block(np.arange(len(fp)), words, 7, 18)
+    monkeypatch.setattr(simhash, "CANDIDATE_COST", 1e9)
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", 7)
+    for most in (0, 3, 22, 24):
+        plan = simhash._plan(block, block, most)
+        assert sum(r + 1 for _, _, r in plan) == most + 1 and plan != [(0, 0, 0)]
+        a, b = simhash.close_rows(block, block, most, 15)
+        assert sorted((x, y) for x, y in zip(a.tolist(), b.tolist()) if x < y) == sorted(all_pairs(fp, most, 15)[0])
+
+
 def test_default_links_against_all_pairs(docs_of):
     """The groups of the query's own parameters, sketch included, by all pairs."""
     rng = random.Random(12)
@@ -59,7 +101,7 @@ def test_default_links_against_all_pairs(docs_of):
             rows.append((len(rows), " ".join(w)))
     fp = simhash.fingerprints(pa.array([t for _, t in rows]), simhash.SEGMENTS, simhash.SEGMENT_BITS)
     apart = np.bitwise_count(fp[:, None] ^ fp[None])
-    linked = (apart[:, :, :-1].sum(axis=2) <= simhash.MAX_DISTANCE) & (apart[:, :, -1] <= simhash.SKETCH_DISTANCE) & (apart[:, :, :-1].min(axis=2) <= 1)
+    linked = (apart[:, :, :-1].sum(axis=2) <= simhash.MAX_DISTANCE) & (apart[:, :, -1] <= simhash.SKETCH_DISTANCE)
     root = list(range(len(rows)))
     for _ in root:
         for a, b in zip(*np.nonzero(linked)):
