@@ -5,11 +5,13 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
 import corpus_pipeline
-from cairnlight.llm import mixing
+from cairnlight.llm import mixing, simhash
 from cairnlight.llm.catalog import TOKENIZER
 
 from .conftest import SCHEMA
@@ -132,6 +134,25 @@ def test_one_of_each_group_stays(stages):
     assert pairs(seen[3]) == [p for p in pairs(seen[2]) if p[0] not in gone]
 
 
+def test_near_duplicates_without_a_segment_in_common(spark, docs_of):
+    """The stage drops what is linked at its distances by whole fingerprints only."""
+    rng, rows = random.Random(12), []
+    for _ in range(60):
+        base = prose(rng, rng.randint(40, 90))
+        for _ in range(2):
+            w = list(base)
+            for _ in range(len(w) // 10):
+                w[rng.randrange(len(w))] = prose(rng, 1)[0]
+            rows.append((len(rows), " ".join(w)))
+    fp = simhash.fingerprints(pa.array([t for _, t in rows]), simhash.SEGMENTS, simhash.SEGMENT_BITS)
+    apart = np.bitwise_count(fp[:, None] ^ fp[None])
+    linked = (apart[:, :, :-1].sum(axis=2) <= simhash.MAX_DISTANCE) & (apart[:, :, -1] <= simhash.SKETCH_DISTANCE)
+    pairs_ = [(a, b) for a, b in zip(*np.nonzero(linked)) if a < b]
+    assert any(apart[a, b, :-1].min() > 1 for a, b in pairs_) and all(a // 2 == b // 2 for a, b in pairs_)
+    left = corpus_pipeline.drop_near_duplicates(spark, docs_of(rows), "")
+    assert pairs(left) == [r for r in rows if r[0] not in {b for _, b in pairs_}]
+
+
 def test_mixture_against_loops(stages):
     _, seen, _ = stages
     docs = [(r["doc_id"], r["text"], r["source"]) for r in seen[3].collect()]
