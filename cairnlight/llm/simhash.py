@@ -2,7 +2,9 @@
 
 A document's words, weighted by one plus the logarithm of their counts (so that
 no mark or function word can outvote the rest), vote on a
-fingerprint of ``SEGMENTS * SEGMENT_BITS`` bits. Two documents are linked if
+fingerprint of ``SEGMENTS * SEGMENT_BITS`` bits. Weights are whole numbers of
+1 / ``WEIGHT_UNIT``, so that votes add up exactly: a text has one fingerprint,
+whatever texts it is read with, and a tied vote is none. Two documents are linked if
 their fingerprints differ by ``max_distance`` bits at most and so do sketches of
 their neighbouring words by ``max_sketch_distance``, which keeps texts apart
 that share marks and function words alone.
@@ -51,6 +53,8 @@ CHUNK_BYTES = 1 << 20
 SKETCH_DISTANCE = 14
 WORDS_AT_ONCE = 1 << 16
 PART_WORDS = 1 << 14
+WEIGHT_UNIT = 1 << 12
+EXACT_FLOAT32 = 1 << 24
 BLOCK_ROWS = 1 << 18
 LEAST_ROWS = 1 << 14
 SPREAD = 5
@@ -90,7 +94,8 @@ def fingerprints(text: pa.Array, segments: int, segment_bits: int) -> np.ndarray
     """Segment values and a sketch of every text, shape (rows, segments + 1); blank texts get 0.
 
     Where texts have more than WORDS_AT_ONCE distinct words, votes are added up
-    in parts, so a long text takes little more memory than its words.
+    in parts, so a long text takes little more memory than its words. All sums
+    are of whole numbers that their type holds, so their order doesn't count.
     """
     bits = segments * segment_bits
     out = np.zeros((len(text), segments + 1), np.int64)
@@ -106,14 +111,15 @@ def fingerprints(text: pa.Array, segments: int, segment_bits: int) -> np.ndarray
             own = codes[offsets[row] : offsets[row + 1]]
             if len(own):
                 found, counts = np.unique(own, return_counts=True)
-                weights = (1 + np.log(counts)).astype(np.float32)
-                if signs is not None:
-                    votes = weights @ signs[found]
+                weights = np.rint(WEIGHT_UNIT * (1 + np.log(counts)))
+                if signs is not None and weights.sum() < EXACT_FLOAT32:
+                    votes = weights.astype(np.float32) @ signs[found]
                 else:
                     votes = np.zeros(bits)
                     for at in range(0, len(found), PART_WORDS):
-                        some = slice(at, at + PART_WORDS)
-                        votes += weights[some] @ _signs([names[k] for k in found[some]], bits)
+                        some = found[at : at + PART_WORDS]
+                        own_signs = signs[some] if signs is not None else _signs([names[k] for k in some], bits)
+                        votes += weights[at : at + PART_WORDS] @ own_signs.astype(np.float64)
                 out[start + row, segments] = _sketch(hashed[own])
                 out[start + row, :segments] = (votes > 0).reshape(segments, segment_bits) @ scale
     return out

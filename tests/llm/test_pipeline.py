@@ -17,6 +17,7 @@ from cairnlight.llm.catalog import TOKENIZER
 from .conftest import SCHEMA
 from .test_line_dedup import brute as brute_lines
 from .test_mixing import joined, mixing_key, tokens
+from .test_simhash import plain_votes, tied_texts
 
 LABELS = "doc_id long, quality int, toxic int"
 PARTS = ["ba", "do", "ke", "li", "mu", "ra", "so", "ti", "vo", "ze"]
@@ -153,6 +154,27 @@ def test_near_duplicates_without_a_segment_in_common(spark, docs_of):
     assert pairs(left) == [r for r in rows if r[0] not in {b for _, b in pairs_}]
 
 
+def test_near_duplicates_with_tied_votes(spark, docs_of):
+    """A link doesn't depend on the texts that share a batch: votes are those of plain loops."""
+    rng, both = random.Random(23), []
+    for text in tied_texts(random.Random(22), 3000):
+        w = text.split()
+        for _ in range(rng.randint(1, 6)):
+            w[rng.randrange(len(w))] = prose(rng, 1)[0]
+        both.append((text, " ".join(w)))
+    fp = [simhash.fingerprints(pa.array(side), simhash.SEGMENTS, simhash.SEGMENT_BITS) for side in zip(*both)]
+    apart = np.bitwise_count(fp[0] ^ fp[1])
+    edge = (abs(apart[:, :-1].sum(axis=1) - simhash.MAX_DISTANCE) <= 1) & (apart[:, -1] <= simhash.SKETCH_DISTANCE)
+    texts = [t for k in np.flatnonzero(edge) for t in both[k]]
+    bits = np.array([plain_votes(t, 126) for t in texts])
+    sketch = simhash.fingerprints(pa.array(texts), simhash.SEGMENTS, simhash.SEGMENT_BITS)[:, -1]
+    near = ((bits[:, None] != bits[None]).sum(axis=2) <= simhash.MAX_DISTANCE) & (np.bitwise_count(sketch[:, None] ^ sketch[None]) <= simhash.SKETCH_DISTANCE)
+    linked = [(a, b) for a, b in zip(*np.nonzero(near)) if a < b]
+    assert len(linked) > 10 and all(a // 2 == b // 2 for a, b in linked)
+    left = corpus_pipeline.drop_near_duplicates(spark, docs_of(list(enumerate(texts))), "")
+    assert [i for i, _ in pairs(left)] == [i for i in range(len(texts)) if i not in {b for _, b in linked}]
+
+
 def test_mixture_against_loops(stages):
     _, seen, _ = stages
     docs = [(r["doc_id"], r["text"], r["source"]) for r in seen[3].collect()]

@@ -1,7 +1,11 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
+import xxhash
 
 from cairnlight.llm import simhash
 
@@ -124,6 +128,39 @@ def test_long_texts_in_parts(monkeypatch):
     assert (simhash.fingerprints(text, 7, 18) == whole).all()
 
 
+def plain_votes(text, bits):
+    """A fingerprint by loops over whole numbers."""
+    votes = [0] * bits
+    for word, count in Counter(text.split()).items():
+        digest = int.from_bytes(xxhash.xxh128_digest(word), "big")
+        for k in range(bits):
+            votes[k] += round(4096 * (1 + math.log(count))) * (1 if digest >> (127 - k) & 1 else -1)
+    return [v > 0 for v in votes]
+
+
+def tied_texts(rng, n, repeats=(2, 3, 5)):
+    """Texts of few words, of which each count occurs an even number of times, so that many votes are tied."""
+    out = []
+    for _ in range(n):
+        own = words(rng, 2 * rng.randint(3, 12))
+        w = [x for k, x in enumerate(own) for _ in range(repeats[k // 2 % len(repeats)])]
+        rng.shuffle(w)
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("limits", [{}, {"EXACT_FLOAT32": 1 << 16}, {"WORDS_AT_ONCE": 50, "PART_WORDS": 7}])
+def test_fingerprints_are_those_of_the_text_alone(monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(simhash, name, value, raising=False)
+    rng = random.Random(6)
+    texts = tied_texts(rng, 200)
+    want = np.array([plain_votes(t, 126) for t in texts])
+    for order in (range(200), sorted(range(200), key=lambda _: rng.random())):
+        fp = simhash.fingerprints(pa.array([texts[k] for k in order]), 7, 18)[:, :-1]
+        assert ((fp[:, :, None] >> np.arange(17, -1, -1) & 1).reshape(200, 126) == want[list(order)]).all()
+
+
 def test_one_bit_apart_in_each_place(spark):
     rows = [(0, [0] * 7)] + [(1 + s * 18 + p, [(1 << p) if k == s else 0 for k in range(7)]) for s in range(7) for p in range(18)]
     got = {(r["a"], r["b"]) for r in simhash.candidate_pairs(spark.createDataFrame(rows, "id long, fp array<long>"), 7, 18, 1).collect()}
