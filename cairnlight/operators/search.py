@@ -6,6 +6,8 @@ The score of a document is the sum over the query's words of
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,10 +50,13 @@ def weighted_postings(elements: DataFrame) -> DataFrame:
     """(term, element_id, name, weight): the index of elements, to be stored by term.
 
     Words are stemmed, stop words left out. A term's weight adds up its fields'
-    weights times one plus the logarithm of its count there.
+    weights times one plus the logarithm of its count there. Elements are spread
+    by id before they become words, so that a small file's words aren't summed up
+    in one task; all sums stay where the element is.
     """
     fields = [F.struct(F.lit(w).alias("w"), (F.array_join(f, " ") if f == "doc_comments" else F.col(f)).alias("t")) for f, w in WEIGHTS.items()]
-    rows = elements.select("element_id", "name", F.explode(F.array(*fields)).alias("f")).select("element_id", "name", "f.w", F.explode(text.words(F.translate("f.t", "_", " "))).alias("word"))
+    spread = elements.select("element_id", *WEIGHTS).repartition("element_id")
+    rows = spread.select("element_id", "name", F.explode(F.array(*fields)).alias("f")).select("element_id", "name", "f.w", F.explode(text.words(F.translate("f.t", "_", " "))).alias("word"))
     terms = rows.where(~F.col("word").isin(*STOP_WORDS)).groupBy("element_id", "name", "w", stem(F.col("word")).alias("term")).agg(F.count("*").alias("n"))
     return terms.groupBy("term", "element_id", "name").agg(F.sum(F.col("w") * (1 + F.log(F.col("n").cast("double")))).alias("weight"))
 
@@ -59,13 +64,19 @@ def weighted_postings(elements: DataFrame) -> DataFrame:
 def ranked(index: DataFrame, query: str, prefix: bool = False) -> DataFrame:
     """(element_id, name, rank) of elements with all words, best first, then by name.
 
-    With ``prefix`` a word also stands for terms that begin with it.
+    With ``prefix`` a word also stands for terms that begin with it. The words
+    asked for are also a filter of literals, which Catalyst takes below the sums
+    of an index that isn't stored; a join with them stays above.
     """
     spark = index.sparkSession
     wanted = sorted({w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split() if w not in STOP_WORDS})
     asked = spark.createDataFrame([(k, w) for k, w in enumerate(wanted)], "k int, word string").select("k", stem(F.col("word")).alias("q"))
     match = F.col("term").startswith(F.col("q")) if prefix else F.col("term") == F.col("q")
-    hits = index.join(F.broadcast(asked), match)
+    stems = [stem(F.lit(w)) for w in wanted]
+    among = functools.reduce(Column.__or__, (F.col("term").startswith(q) for q in stems), F.lit(False)) if prefix else F.col("term").isin(*stems)
+    hits = index.where(among).join(F.broadcast(asked), match)
     found = hits.groupBy("element_id", "name").agg(F.sum("weight").alias("rank"), F.countDistinct("q").alias("n"))
     need = asked.agg(F.countDistinct("q").alias("need"))
-    return found.crossJoin(F.broadcast(need)).where("n = need").select("element_id", "name", "rank").orderBy(F.desc("rank"), "name", "element_id")
+    # sorting reads its input twice; after this shuffle that is what was found, not all words (by element_id alone it would be left out, as rows are spread so already)
+    whole = found.crossJoin(F.broadcast(need)).where("n = need").select("element_id", "name", "rank").repartition("element_id", "name")
+    return whole.orderBy(F.desc("rank"), "name", "element_id")

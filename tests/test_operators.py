@@ -1,10 +1,11 @@
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from cairnlight.functions import scores, text
-from cairnlight.operators import analyzers, elements, graph, metrics, rag
+from cairnlight.operators import analyzers, elements, graph, metrics, rag, search
 from cairnlight.plans import views
 
 SF = "/root/testdata/sf0.001"
@@ -213,6 +214,23 @@ def test_call_chains_and_checked_ends(spark):
     assert [(r["node"], r["depth"]) for r in order] == [(1, 0), (2, 1), (3, 2), (4, 3)]
 
 
+@pytest.mark.parametrize("prefix", [False, True])
+def test_ranked_search_sums_only_what_is_asked(spark, prefix):
+    rows = [("1", "red_bolt", "m::red_bolt", None, ["A red bolt.", "Example: `red`"]), ("2", "blue", "m::blue", "fn blue()", []), ("3", "x", "m::x", None, ["example red"]), ("3", "x", "m::x", None, ["redder"])]
+    df = spark.createDataFrame(rows, "element_id string, name string, qualified_name string, signature string, doc_comments array<string>").coalesce(1)
+    found = search.ranked(search.weighted_postings(df), "The Reds, examples", prefix)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    lowest = max(k for k, line in enumerate(plan.splitlines()) if "Aggregate [" in line and "element_id" in line)
+    below = plan.splitlines()[lowest:]
+    assert any("Filter" in line and "word#" in line and "example" in line and "red)" in line for line in below)  # the words are chosen before any sum
+    assert any("RepartitionByExpression [element_id" in line for line in below)  # and the rows spread before they are words
+    two, once = 1 + math.log(2), 1 + math.log(1)
+    want = {"1": 1.4 + 0.1 * two + 0.1 * once, "3": 0.2 * once + (0.1 if prefix else 0)}
+    got = {r["element_id"]: r["rank"] for r in found.collect()}
+    assert got == pytest.approx(want) and [r["element_id"] for r in found.collect()] == ["1", "3"]
+    assert search.ranked(search.weighted_postings(df), "the", prefix).count() == 0
+
+
 def test_names_across_modules(spark):
     from cairnlight.operators import namespaces as ns
 
