@@ -30,6 +30,15 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Vertices up to which a set of them goes to the edges, instead of the edges to it.
+BROADCAST_NODES = 500_000
+
+
+def _few(nodes: DataFrame) -> DataFrame:
+    """``nodes``, stored rows by vertex, to be broadcast if there aren't many."""
+    return F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
+
+
 def reversed_edges(edges: DataFrame) -> DataFrame:
     swapped = {"src": "dst", "dst": "src"}
     return edges.select(*[F.col(swapped.get(c, c)).alias(c) for c in edges.columns])
@@ -49,7 +58,7 @@ def call_edges(references: DataFrame, elements: DataFrame) -> DataFrame:
 
 def dependency_edges(references: DataFrame, elements: DataFrame) -> DataFrame:
     """Dependencies by (src, dst, type), with strength and directness."""
-    ids = elements.select("element_id")
+    ids = elements.select("element_id").hint("shuffle_hash")  # far fewer than references, which then need no sorting
     deps = references.where(F.col("reference_type").isin("TypeUsage", "VariableAccess", "ModuleReference") & F.col("is_resolved"))
     deps = deps.select(F.col("from_element_id").alias("src"), F.col("to_element_id").alias("dst"), "reference_type")
     deps = deps.join(ids.withColumnRenamed("element_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("element_id", "dst"), "dst", "left_semi")
@@ -260,16 +269,21 @@ def cycles(edges: DataFrame, longest: int) -> DataFrame:
     return out.withColumns({"length": F.size("cycle"), "strength": 1 / F.size("cycle")})
 
 
+def _continued(edges: DataFrame, end: str) -> DataFrame:
+    """The edges whose ``end`` is the other end of an edge too; ``edges`` is read twice."""
+    others = _checkpointed(edges.select(F.col("dst" if end == "src" else "src").alias(end)).distinct())
+    return edges.join(_few(others), end, "left_semi").select("src", "dst")
+
+
 def _trimmed(edges: DataFrame) -> DataFrame:
     """The edges left when those out of sources and into sinks go, again and again."""
-    count = edges.count()
-    while count:
-        kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        edges = _checkpointed(kept.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+    count, unchanged = None, 0
+    for end in itertools.cycle(("src", "dst")):
+        edges = _checkpointed(_continued(edges, end))
         before, count = count, edges.count()
-        if count == before:
-            break
-    return edges
+        unchanged = unchanged + 1 if count == before else 0
+        if not count or unchanged == 2:
+            return edges
 
 
 def cyclic_components(edges: DataFrame) -> DataFrame:
@@ -279,10 +293,12 @@ def cyclic_components(edges: DataFrame) -> DataFrame:
     a single vertex is an edge to itself. The least vertex that reaches each
     vertex is spread forwards; of those with the same one, the vertices that
     reach it in turn are its component, which is set aside until no edges remain.
+    ``edges`` is read twice and only what doesn't begin at a source is stored, so
+    edges that are dear to compute should be stored before.
     """
-    edges = _checkpointed(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    edges = _checkpointed(_continued(edges.where("src IS NOT NULL AND dst IS NOT NULL"), "src").distinct())
     out = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
-    left = _trimmed(_checkpointed(edges.where("src <> dst")))
+    left = _trimmed(edges.where("src <> dst"))
     while not left.isEmpty():
         least = _checkpointed(left.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))
         changed = least
@@ -321,7 +337,8 @@ def dependency_totals(edges: DataFrame) -> DataFrame:
     """
     edges = _checkpointed(edges.select("src", "dst", "is_direct"))
     groups = _checkpointed(cyclic_components(edges))
-    ends = edges.join(groups.select(F.col("node").alias("src"), F.col("component").alias("a")), "src", "left").join(groups.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst", "left")
+    a, b = (_few(groups.select(F.col("node").alias(end), F.col("component").alias(c))) for end, c in (("src", "a"), ("dst", "b")))
+    ends = edges.join(a, "src", "left").join(b, "dst", "left")
     totals = ends.agg(F.count("*").alias("total"), F.count_if("is_direct").alias("direct"), F.count_if(F.col("a") == F.col("b")).alias("cyclic"), F.avg(F.lit(1.0)).alias("average_path_length"))
     return totals.crossJoin(groups.agg(F.countDistinct("component").alias("cyclic_components")))
 

@@ -182,6 +182,23 @@ def test_dependency_totals(spark):
     assert none["total"] == 0 and none["average_path_length"] is None
 
 
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_edges_of_sources_are_stored_once(spark, monkeypatch, few):
+    stored, store = [], graph._checkpointed
+
+    def counted(df):
+        stored.append((kept := store(df)).count())
+        return kept
+
+    monkeypatch.setattr(graph, "_checkpointed", counted)
+    monkeypatch.setattr(graph, "BROADCAST_NODES", few, raising=False)
+    ring = [(0, 1), (1, 2), (2, 0), (0, 1), (2, 3), (3, 3), (3, 4), (4, 5), (None, 0), (1, None)]
+    edges = [(a, b, k % 2 == 0) for k, (a, b) in enumerate([*ring, *((k, k % 3) for k in range(6, 1006))])]
+    row = graph.dependency_totals(spark.createDataFrame(edges, "src long, dst long, is_direct boolean")).first().asDict()
+    assert row == {"total": 1010, "direct": 505, "cyclic": 5, "average_path_length": 1.0, "cyclic_components": 2}
+    assert stored[0] == 1010 and max(stored[1:]) < 50
+
+
 def test_deep_and_wide_trees(spark):
     deep = [(0, None, "n0")] + [(i, i - 1, f"n{i}") for i in range(1, 151)] + [(900, 901, "ring"), (901, 900, "ring"), (902, 903, "lost")]
     out = {r["id"]: (r["depth"], r["path"]) for r in graph.hierarchy(spark.createDataFrame(deep, "id long, parent long, name string")).collect()}
